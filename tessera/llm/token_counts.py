@@ -34,7 +34,10 @@ PIECE = regex.compile("|".join(CONTRACTIONS) + rf"| ?\p{{L}}+| ?\p{{N}}+| ?[^{SP
 #: No piece crosses the border of these coarser ones, which repeat often.
 COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-REMEMBERED = 400_000
+REMEMBERED = 500_000  # entries of either table
+#: Bits that hold a symbol and, in the heap, a place.
+PAIR, PLACE = 20, 40
+MASK = (1 << PLACE) - 1
 LONGEST = 48
 
 
@@ -53,45 +56,66 @@ class PairMerger:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.first = [vocab[c] for _, c in sorted(_byte_letters().items())]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}  # of a pair of symbols, packed into one number
+        self.made: list[int] = []  # by rank
         for i, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank.setdefault((vocab[a], vocab[b]), (i, vocab[a + b]))
+            self.rank.setdefault(vocab[a] << PAIR | vocab[b], i)
+            self.made.append(vocab[a + b])
         special = [t["content"] for t in spec.get("added_tokens", ())]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # coarse pieces
+        self.pieces: dict[str, int] = {}
 
     def merged(self, piece: bytes) -> int:
         """Initial symbols minus merges."""
-        n = len(piece)
+        n = left = len(piece)
+        if n < 2:
+            return n
+        rank, made = self.rank.get, self.made
         sym = [self.first[b] for b in piece]
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank, heap = self.rank, []
-        for i in range(n - 1):
-            if found := rank.get((sym[i], sym[i + 1])):
-                heap.append((found[0], i, sym[i], sym[i + 1], found[1]))
+        own = [rank(a << PAIR | b, -1) for a, b in zip(sym, sym[1:])]  # rank of the pair that starts here; -1: none
+        heap = [r << PLACE | i for i, r in enumerate(own) if r >= 0]
+        if not heap:
+            return n
+        own.append(-1)
         heapq.heapify(heap)
-        left = n
+        pop, push = heapq.heappop, heapq.heappush
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
+            top = pop(heap)
+            i, r = top & MASK, top >> PLACE
+            if own[i] != r:
                 continue  # one side has been merged meanwhile
-            sym[i], sym[j] = made, -1
-            after[i] = k = after[j]
             left -= 1
+            s = sym[i] = made[r]
+            j = after[i]
+            own[j] = -1
+            k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := rank.get((made, sym[k])):
-                    heapq.heappush(heap, (found[0], i, made, sym[k], found[1]))
-            if (h := before[i]) >= 0 and (found := rank.get((sym[h], made))):
-                heapq.heappush(heap, (found[0], h, sym[h], made, found[1]))
+                own[i] = r = rank(s << PAIR | sym[k], -1)
+                if r >= 0:
+                    push(heap, r << PLACE | i)
+            else:
+                own[i] = -1
+            h = before[i]
+            if h >= 0:
+                own[h] = r = rank(sym[h] << PAIR | s, -1)
+                if r >= 0:
+                    push(heap, r << PLACE | h)
         return left
 
-    def _coarse(self, piece: str) -> int:
-        n = sum(self.merged(p.encode()) for p in PIECE.findall(piece))
-        if len(piece) <= LONGEST and len(self.known) < REMEMBERED:
-            self.known[piece] = n
+    def _coarse(self, coarse: str) -> int:
+        n, pieces = 0, self.pieces
+        for p in PIECE.findall(coarse):
+            if (k := pieces.get(p)) is None:
+                k = self.merged(p.encode())
+                if len(p) <= LONGEST and len(pieces) < REMEMBERED:
+                    pieces[p] = k
+            n += k
+        if len(coarse) <= LONGEST and len(self.known) < REMEMBERED:
+            self.known[coarse] = n
         return n
 
     def _plain(self, text: str) -> int:
