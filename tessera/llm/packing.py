@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,21 +32,22 @@ from pyspark.sql import DataFrame
 
 from .shared import WORD_SPACES
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 LONGEST = 48
 PACK = 1 << 18
 #: Relative cost of a token in the linear layers and of a pair of tokens in attention.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
 _SPACES = WORD_SPACES.decode()
+_BEFORE_MARK = re.compile(r"(?<=[a-z])(?=[.,;:!?|])")
 _TO_BLANK = str.maketrans(_SPACES, " " * len(_SPACES))
 
 
 class WordIds:
     """Ids of whole texts by a vocabulary that drops white space: the library is asked once for each distinct word.
 
-    Its normaliser and pattern never look across the six ASCII spaces, so a text's ids are its
-    words' ids in a row.
+    Its normaliser and pattern never look across the six ASCII spaces, it lowers case, and a run of letters ends
+    where a mark follows, so a text's ids are those of its lower-case words, cut before such marks, in a row.
     """
 
     def __init__(self, path: str):
@@ -59,6 +61,8 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if "<|" not in text:  # else it may hold a special token's string, which is not to be touched
+            text = _BEFORE_MARK.sub(" ", text.encode().lower().decode())  # ASCII letters alone
         words = [w for w in text.translate(_TO_BLANK).split(" ") if w]
         found = list(map(self.known.get, words))
         if None in found:

@@ -99,7 +99,7 @@ def test_thresholds_are_ordered_and_temperature_calibrates():
     rng = np.random.default_rng(1)
     rows, grades = [], []
     for g in rng.integers(0, 3, 300):
-        cells = np.unique(np.append(rng.integers(10, 200, 20), [1] * int(g > 0)))
+        cells = np.unique(np.append(rng.integers(10, 200, 20), [1] * int(g > 0)).astype(int))
         rows.append((cells, np.where(cells == 1, 1 + 6 * (g > 1), 1)))
         grades.append(g)
     m = toxicity.train(rows, np.array(grades))

@@ -13,7 +13,7 @@ from tessera.llm.token_counts import token_counts
 
 TEXTS = [
     None, "", " ", "\n\n  \t", "hello world", "Hello,  world!!  \n\n it's  we'll I'D", "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "naïve café ÉÀ ß ﬁ Å Å",
-    "日本語のテキスト", "🙂🙂 x🙂y", "١٢٣ 4567 ²", "a b c　 d", "x" * 3000, "ab " * 20000, "tab\tsep\x0bvt\x0cff\r\ncr", "don't 'tis 's 'S", "\x1c\x1d a\x85b", "é ä", "İstanbul ΣΊΣΥΦΟΣ",
+    "日本語のテキスト", "🙂🙂 x🙂y", "١٢٣ 4567 ²", "a b c　 d", "x" * 3000, "ab " * 20000, "tab\tsep\x0bvt\x0cff\r\ncr", "don't 'tis 's 'S", "\x1c\x1d a\x85b", "é ä", "İstanbul ΣΊΣΥΦΟΣ", "It's, they'LL. e.g.x!'s A.'m", "<|ENDOFTEXT|> A<|endoftext|>,b", "a.́ b,‍c K.",
 ]
 SCHEMA = "doc_id long, text string, source string"
 
