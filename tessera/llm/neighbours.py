@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .embedding_dedup import usable
 from .shared import written
 
-PIVOTS, SAMPLE, DEPTH = 256, 4096, 64
-SHARE, LEAST = 0.12, 1000
+PIVOTS, SAMPLE, DEPTH = 256, 4096, 192
+SHARE, LEAST = 0.08, 1000
 BLOCKS, LEAST_BLOCK, MOST_BLOCK, CHUNK = 16, 4096, 65536, 4096
 
 
