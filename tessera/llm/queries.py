@@ -63,6 +63,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_duplicates
+
+    return substring_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -70,7 +76,7 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_token_counts, op3_language_id, op5_pack_sequences, op6_toxicity, op8_embedding_dedup, op9_neighbours, op10_quality]
+    found = [op1_mix_sources, op2_token_counts, op3_language_id, op4_substring_dedup, op5_pack_sequences, op6_toxicity, op8_embedding_dedup, op9_neighbours, op10_quality]
     return {f.__name__: f for f in found}
 
 

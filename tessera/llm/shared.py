@@ -174,3 +174,50 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         state = tuple(now)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+# ---------------------------------------------------------------- blobs
+_CODEC = pa.Codec("zstd", 3)
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (np.dtype(a.dtype).num, len(a)))], np.int64)
+    raw = head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+_BY_NUM = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int32, np.int64, np.float32, np.float64)}
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    raw = _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 2 * n, 8)
+    at, out = 8 + 16 * n, []
+    for k in range(n):
+        kind = _BY_NUM[int(head[2 * k])]
+        out.append(np.frombuffer(raw, kind, int(head[2 * k + 1]), at))
+        at += int(head[2 * k + 1]) * kind.itemsize
+    return out
+
+
+def pack_rows(batch: pa.RecordBatch) -> bytes:
+    """Arrow rows as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
+
+
+def runs_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal entries."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(sorted_keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return np.flatnonzero(new)
