@@ -45,6 +45,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import embedding_duplicates
 
@@ -76,7 +82,7 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_token_counts, op3_language_id, op4_substring_dedup, op5_pack_sequences, op6_toxicity, op8_embedding_dedup, op9_neighbours, op10_quality]
+    found = [op1_mix_sources, op2_token_counts, op3_language_id, op4_substring_dedup, op5_pack_sequences, op6_toxicity, op7_near_dedup, op8_embedding_dedup, op9_neighbours, op10_quality]
     return {f.__name__: f for f in found}
 
 

@@ -78,7 +78,7 @@ def _packed_entries(docs: Documents, doc: np.ndarray, pos: np.ndarray, *more: np
     return pack_arrays(docs.ids[doc[at]], docs.tags[doc[at]], np.diff(np.append(at, len(doc))).astype(np.uint32), pos[order].astype(np.uint32), *(m[order] for m in more))
 
 
-def _split(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def split_by(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, indices) for each value."""
     order = np.argsort(place, kind="stable")
     at = runs_of(place[order])
@@ -88,7 +88,7 @@ def _split(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _to_groups(docs: Documents, doc: np.ndarray, pos: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
     if len(doc):
-        for g, i in _split(docs.groups(n)[doc]):
+        for g, i in split_by(docs.groups(n)[doc]):
             yield g, _packed_entries(docs, doc[i], pos[i])
 
 
@@ -121,12 +121,12 @@ class Sender:
         settled, ask = self.judge(h, docs.ids[doc], runs_of(h))
         for g, blob in _to_groups(docs, doc[settled], pos[settled], self.n):
             yield g, True, blob
-        for k, i in _split(((h[ask] >> U64(32)) % U64(self.n)).astype(np.int64)):
+        for k, i in split_by(((h[ask] >> U64(32)) % U64(self.n)).astype(np.int64)):
             own = ask[i]
             yield k, False, _packed_entries(docs, doc[own], pos[own], h[own].astype(np.uint32) if self.narrow else h[own], np.isin(own, settled, assume_unique=True).astype(np.uint8))
 
 
-def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+def record_batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
     """Record batches of about ROWS_BYTES."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
@@ -181,7 +181,7 @@ def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     yield from out.sent()
         yield from out.sent()
 
-    return lambda batches: _batches(entries(batches), SENT)
+    return lambda batches: record_batches(entries(batches), SENT)
 
 
 def _settle(n: int, anchors: bool) -> Callable[[pa.Table], pa.Table]:
@@ -218,8 +218,8 @@ def _settle(n: int, anchors: bool) -> Callable[[pa.Table], pa.Table]:
     return bucket
 
 
-def _grouped_rows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows by group, compressed; the column ``text`` is not null, ``doc_id`` may be."""
+def grouped_rows(n: int, tagged: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text, ...) by group, compressed; tagged: rows of one doc_id may go to several groups by their text."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         held: list[pa.RecordBatch] = []
@@ -232,8 +232,8 @@ def _grouped_rows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for batch in t:
                 ids = batch.column(0).fill_null(0).to_numpy()
                 data, off = text_buffers(batch.column(1))
-                docs = Documents(ids, _checksums(data, off))
-                for g, i in _split(docs.groups(n)):
+                docs = Documents(ids, _checksums(data, off) if tagged else np.zeros(len(ids), np.uint32))
+                for g, i in split_by(docs.groups(n)):
                     yield g, 1, pack_rows(batch.take(pa.array(i)))
 
         for batch in batches:
@@ -245,7 +245,7 @@ def _grouped_rows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         if held:
             yield from flushed()
 
-    return lambda batches: _batches(entries(batches), GROUPED)
+    return lambda batches: record_batches(entries(batches), GROUPED)
 
 
 class Marks:
@@ -279,13 +279,13 @@ class Marks:
         return [self.by.get((int(a), int(b))) for a, b in zip(ids, tags, strict=True)]
 
 
-def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Marks, pa.Table]]:
+def by_group(batches: Iterator[pa.RecordBatch], answers: type = Marks) -> Iterator[tuple]:
     """Each piece of rows with the answers to its group; a group's answers come first."""
-    group, marks = None, Marks()
+    group, marks = None, answers()
     for batch in batches:
         for g, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if g != group:
-                group, marks = g, Marks()
+                group, marks = g, answers()
             if kind == 0:
                 marks.add(blob.as_py())
             else:
@@ -297,7 +297,7 @@ def _windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, bytes]]:
         out = Sender(n, _later, narrow=False)
-        for marks, rows in _by_group(batches):
+        for marks, rows in by_group(batches):
             rows = rows.filter(rows.column(0).is_valid())
             ids = rows.column(0).to_numpy()
             data, off = text_buffers(rows.column(1))
@@ -330,7 +330,7 @@ def _windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     yield from out.sent()
         yield from out.sent()
 
-    return lambda batches: _batches(entries(batches), SENT)
+    return lambda batches: record_batches(entries(batches), SENT)
 
 
 def _kept(text: bytes, cut: np.ndarray | None) -> tuple[list[bytes], int, bytes]:
@@ -355,7 +355,7 @@ def _answered(docs: DataFrame) -> tuple[DataFrame, int]:
     n = partitions(spark)
     texts = docs.select("doc_id", "text")
     shared = texts.mapInArrow(_anchors(n), SENT).groupBy("k").applyInArrow(_settle(n, True), GROUPED)
-    grouped = texts.mapInArrow(_grouped_rows(n), GROUPED).unionAll(shared)
+    grouped = texts.mapInArrow(grouped_rows(n), GROUPED).unionAll(shared)
     windows = grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(_windows(n), SENT)
     return windows.groupBy("k").applyInArrow(_settle(n, False), GROUPED), n
 
@@ -365,7 +365,7 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
     answers, n = _answered(docs)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for marks, rows in _by_group(batches):
+        for marks, rows in by_group(batches):
             data, off = text_buffers(rows.column(1))
             cuts = marks.of(rows.column(0).fill_null(0).to_numpy(), _checksums(data, off))
             out = []
@@ -375,7 +375,7 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
             doc, size, gone, sha = zip(*out, strict=True)
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    grouped = docs.select("doc_id", "text").mapInArrow(_grouped_rows(n), GROUPED).unionAll(answers)
+    grouped = docs.select("doc_id", "text").mapInArrow(grouped_rows(n), GROUPED).unionAll(answers)
     return grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -385,12 +385,12 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for marks, rows in _by_group(batches):
+        for marks, rows in by_group(batches):
             data, off = text_buffers(rows.column(1))
             cuts = marks.of(rows.column(0).fill_null(0).to_numpy(), _checksums(data, off))
             texts = [t.as_py() if doc is None or cut is None else _kept(data[a:b].tobytes(), cut)[2].decode() for doc, t, a, b, cut in zip(rows.column(0).to_pylist(), rows.column(1), off[:-1], off[1:], cuts, strict=True)]
             yield from rows.set_column(1, rows.schema.field(1), pa.array(texts, rows.schema.field(1).type)).combine_chunks().to_batches()
 
     whole = docs.select("doc_id", "text", *rest)
-    grouped = whole.mapInArrow(_grouped_rows(n), GROUPED).unionAll(answers)
+    grouped = whole.mapInArrow(grouped_rows(n), GROUPED).unionAll(answers)
     return grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(cut_rows, whole.schema).select(*docs.columns)
