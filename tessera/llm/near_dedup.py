@@ -10,9 +10,11 @@ Jaccard similarity is at least ``least``.  Classes are the components of links a
 
 Plan.  Copies (equal word sequences) collapse by a grouped minimum first, so a group of copies is one
 row.  In each band bucket every member is verified against one hub, the member that shares most
-buckets with others: as many pairs as rows.  Members that this leaves in different components are then compared among
-each other in tiles of bounded size; pairs whose samples agree too seldom for the threshold (SIGMAS
-standard deviations below) are not verified, and each pair counts in its first common band alone.
+buckets with others: as many pairs as rows.  Members that this leaves in different components are compared among
+each other by their samples, in tiles of bounded size, twice: first each member's most similar one alone is
+verified, again as many pairs as rows, which joins most of a large group; then, for what is still
+apart, all pairs whose WIDE samples agree often enough for the threshold (no more than SIGMAS standard deviations
+below), each in its first common band alone.
 Texts travel compressed, to requests by document; what is broadcast is the table of 2^20 frequencies.
 Nothing else reaches the driver.
 
@@ -43,11 +45,12 @@ K = BANDS * ROWS
 CELL_BITS, BLOCK = 20, 1 << 14
 CELLS = 1 << CELL_BITS
 SIGMAS = 3.5
+WIDE = 1024
 TILE, SLOT = 512, 1024
 STEP = 1 << 18
 
 _rng = np.random.default_rng(31)
-_SEEDS = _rng.integers(0, 1 << 63, K, np.uint64)
+_SEEDS = _rng.integers(0, 1 << 63, WIDE, np.uint64)
 _ODD = U64(0xD6E8FEB86659FD93)
 
 
@@ -126,12 +129,12 @@ def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return count * idf[(h >> U64(48 - CELL_BITS)).astype(np.int64)].astype(np.float64)
 
 
-def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """K samples of each text; texts without shingles are not to be passed."""
+def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int = K) -> np.ndarray:
+    """n samples of each text; texts without shingles are not to be passed."""
     inv, beta, r, base = _draws()
     log, own = np.round(np.log(weight), 9), (h & U64(0xFFFFFF)).astype(np.float64) * 1e-12
-    out = np.empty((len(first) - 1, K), np.uint64)
-    for k in range(K):
+    out = np.empty((len(first) - 1, n), np.uint64)
+    for k in range(n):
         i = (((h ^ _SEEDS[k]) * _ODD) >> U64(48)).astype(np.int64)
         t = np.floor(log * inv[i] + beta[i])
         t *= r[i]
@@ -238,26 +241,111 @@ class Requests:
         return self.by.get(doc, [])
 
 
-def _close(t: pa.Table, least: float) -> pa.Table:
-    """Of one tile of a bucket the pairs of different components that may be similar enough, each in its first common band."""
+def _least_agreement(least: float, n: int) -> float:
+    """How many of n samples agree at least in a pair of similarity ``least``, but for SIGMAS standard deviations."""
+    return n * (least - SIGMAS * np.sqrt(least * (1 - least) / n))
+
+
+def _close(t: pa.Table, least: float, best: bool) -> pa.Table:
+    """Of one tile of a bucket the pairs of different components that may be similar enough.
+
+    best: of each member the pair that agrees most; else all, each in its first common band.
+    """
     ids, comp, own = (t.column(c).to_numpy() for c in ("doc", "component", "own"))
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
     band = t.column("band")[0].as_py()
     raw = np.frombuffer(b"".join(x.as_py() for x in t.column("sketch")), np.uint8).reshape(len(ids), -1)
-    s, bands = raw[:, :K], np.ascontiguousarray(raw[:, K:]).view(np.uint32)
-    cut = K * (least - SIGMAS * np.sqrt(least * (1 - least) / K))
+    n = raw.shape[1] - 4 * BANDS
+    s, bands = raw[:, :n], np.ascontiguousarray(raw[:, n:]).view(np.uint32)
     p, q = np.flatnonzero(own == i), np.flatnonzero(own == j)
     found: list[tuple[int, int]] = []
+    top = np.zeros((2, len(ids)), np.int64)  # of each member how far its best pair agrees, and with whom
     for x in p:
         y = q[(comp[q] != comp[x]) & ((ids[q] > ids[x]) | (i != j))]
-        y = y[(s[y] == s[x]).sum(axis=1) >= cut]
-        if len(y):
+        for k in (K, n):
+            agree = (s[y, :k] == s[x, :k]).sum(axis=1)
+            near = agree >= _least_agreement(least, k)
+            y, agree = y[near], agree[near]
+            if k == n:
+                break
+        if not len(y):
+            continue
+        if best:
+            k = int(agree.argmax())
+            if agree[k] > top[0, x]:
+                top[:, x] = agree[k], y[k]
+            more = agree > top[0, y]
+            top[0, y[more]], top[1, y[more]] = agree[more], x
+        else:
             y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
             found += [(int(ids[x]), int(ids[k])) for k in y]
+    if best:
+        have = np.flatnonzero(top[0])
+        found = [(int(ids[x]), int(ids[y])) for x, y in zip(have, top[1, have], strict=True)]
     a = np.array(found, np.int64).reshape(-1, 2)
     return pa.table({"doc": a.max(axis=1) if len(a) else np.zeros(0, np.int64), "hub": a.min(axis=1) if len(a) else np.zeros(0, np.int64)})
 
 
+def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components."""
+    found = components(links, "near")
+    labelled = rows.join(found, rows["doc"] == found["node"], "left").select("key", "band", "doc", "size", F.coalesce("component", "doc").alias("component"))
+    apart = labelled.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("k")
+    return written(labelled.join(apart, labelled["key"] == apart["k"], "left_semi"), "apart")
+
+
+def _candidates(apart: DataFrame, sketches: DataFrame, least: float, best: bool) -> DataFrame:
+    """(hub, doc) from the tiles of the buckets; sketches: (s, sketch)."""
+    named = apart.join(sketches, apart["doc"] == sketches["s"]).withColumn("blocks", F.ceil(F.col("size") / TILE))
+    own = named.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    tiles = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "doc", "component", "sketch")
+    found = tiles.groupBy("key", "i", "j").applyInArrow(lambda t: _close(t, least, best), "doc long, hub long")
+    return written(found.select("hub", "doc").distinct(), "close-pairs")
+
+
+def _wide_sketches(docs: DataFrame, ids: DataFrame, bands: DataFrame, idf) -> DataFrame:  # noqa: ANN001
+    """(s, sketch) with WIDE samples of the documents ``ids`` (doc); bands: (s, sketch) of all."""
+    n = partitions(docs.sparkSession)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for asked, rows in by_group(batches, Named):
+            rows = rows.filter(pa.array([i in asked.ids for i in rows.column(0).to_pylist()], pa.bool_()))
+            data, off = text_buffers(rows.column(1))
+            for a, b in steps(data, off, STEP):
+                h, count, first, _ = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                some = np.flatnonzero(np.diff(first) > 0)
+                if len(some):
+                    s = samples(h, weights(h, count, idf.value), np.append(first[:-1][some], len(h)), WIDE).astype(np.uint8)
+                    yield pa.record_batch([rows.column(0).combine_chunks().take(pa.array(some + a)), pa.array([x.tobytes() for x in s], pa.binary())], ["w", "wide"])
+
+    asked = ids.select(F.col("doc").alias("doc_id")).distinct().mapInArrow(_names(n), GROUPED)
+    texts = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(grouped_rows(n, tagged=False), GROUPED)
+    wide = texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(drawn, "w long, wide binary").dropDuplicates(["w"])
+    return wide.join(bands, wide["w"] == bands["s"]).select("s", F.concat("wide", F.expr(f"substring(sketch, {K + 1}, {4 * BANDS})")).alias("sketch"))
+
+
+def _names(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ids of documents, sent to the documents' groups."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            groups = Documents(ids, np.zeros(len(ids), np.uint32)).groups(n)
+            yield from record_batches(((g, 0, pack_arrays(ids[i])) for g, i in split_by(groups)), GROUPED)
+
+    return told
+
+
+class Named:
+    """Ids of a group."""
+
+    def __init__(self) -> None:
+        self.ids: set[int] = set()
+
+    def add(self, blob: bytes) -> None:
+        self.ids.update(unpack_arrays(blob)[0].tolist())
+
+
 def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, class_id, kept) of every document."""
     spark = docs.sparkSession
@@ -280,16 +368,12 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     pairs = rows.join(hubs, rows["key"] == hubs["k"]).where("doc <> hub").select("hub", "doc").distinct()
     links = written(_verified(docs, written(pairs, "hub-pairs"), idf, least), "hub-links")
 
-    found = components(links, "near")
-    labelled = rows.join(found, rows["doc"] == found["node"], "left").select("key", "band", "doc", "size", F.coalesce("component", "doc").alias("component"))
-    open_ = labelled.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("k")
-    labelled = labelled.join(open_, labelled["key"] == open_["k"], "left_semi")
     sketches = firsts.select(F.col("doc_id").alias("s"), "sketch")
-    labelled = labelled.join(sketches, labelled["doc"] == sketches["s"]).withColumn("blocks", F.ceil(F.col("size") / TILE))
-    own = labelled.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    tiles = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "doc", "component", "sketch")
-    rest = tiles.groupBy("key", "i", "j").applyInArrow(lambda t: _close(t, least), "doc long, hub long")
-    more = _verified(docs, written(rest, "close-pairs"), idf, least)
+    best = _verified(docs, _candidates(_apart(rows, links), sketches, least, True), idf, least)
+    links = written(links.unionByName(best), "best-links")
+    apart = _apart(rows, links)
+    wide = _wide_sketches(docs, apart, sketches, idf)
+    more = _verified(docs, _candidates(apart, wide, least, False), idf, least)
 
     edges = links.unionByName(more).unionByName(same.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))
     found = components(edges, "near")
@@ -303,25 +387,12 @@ def near_distinct(docs: DataFrame, least: float = 0.8) -> DataFrame:
     n = partitions(docs.sparkSession)
     gone = near_classes(docs, least).where("not kept").select("doc_id").distinct()
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            groups = Documents(ids, np.zeros(len(ids), np.uint32)).groups(n)
-            yield from record_batches(((g, 0, pack_arrays(ids[i])) for g, i in split_by(groups)), GROUPED)
-
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for marks, rows in by_group(batches, Gone):
+        for marks, rows in by_group(batches, Named):
             left = rows.filter(pa.array([i is None or i not in marks.ids for i in rows.column(0).to_pylist()]))
             yield from left.combine_chunks().to_batches()
 
     whole = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    grouped = whole.mapInArrow(grouped_rows(n, tagged=False), GROUPED).unionAll(gone.mapInArrow(told, GROUPED))
+    grouped = whole.mapInArrow(grouped_rows(n, tagged=False), GROUPED).unionAll(gone.mapInArrow(_names(n), GROUPED))
     return grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(stay, whole.schema).select(*docs.columns)
 
-
-class Gone:
-    def __init__(self) -> None:
-        self.ids: set[int] = set()
-
-    def add(self, blob: bytes) -> None:
-        self.ids.update(unpack_arrays(blob)[0].tolist())
