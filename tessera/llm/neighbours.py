@@ -76,7 +76,8 @@ class PermutationIndex:
         else:
             near = np.arange(len(foot))
         near = near[self.ids[near] != own]
-        d = np.sqrt(((self.x[near] - query) ** 2).sum(axis=1))
+        # Components are added one after the other, so a distance does not depend on the block's shape.
+        d = np.sqrt(np.cumsum((self.x[near] - query) ** 2, axis=1)[:, -1]) if len(near) else np.zeros(0)
         best = np.lexsort((self.ids[near], d))[:k]
         return near[best], d[best]
 
