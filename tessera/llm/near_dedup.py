@@ -134,13 +134,21 @@ def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int = K) ->
     inv, beta, r, base = _draws()
     log, own = np.round(np.log(weight), 9), (h & U64(0xFFFFFF)).astype(np.float64) * 1e-12
     out = np.empty((len(first) - 1, n), np.uint64)
+    i, a, t = np.empty(len(h), np.uint64), np.empty(len(h)), np.empty(len(h))
+    at, starts = i.view(np.int64), first[:-1]
     for k in range(n):
-        i = (((h ^ _SEEDS[k]) * _ODD) >> U64(48)).astype(np.int64)
-        t = np.floor(log * inv[i] + beta[i])
-        t *= r[i]
-        a = base[i] - t
+        np.bitwise_xor(h, _SEEDS[k], out=i)
+        np.multiply(i, _ODD, out=i)
+        np.right_shift(i, U64(48), out=i)
+        np.take(inv, at, out=t, mode="clip")
+        t *= log
+        t += np.take(beta, at, out=a, mode="clip")
+        np.floor(t, out=t)
+        t *= np.take(r, at, out=a, mode="clip")
+        np.take(base, at, out=a, mode="clip")
+        a -= t
         a += own  # tells shingles of one draw apart
-        out[:, k] = np.minimum.reduceat(a, first[:-1]).view(np.uint64)
+        out[:, k] = np.minimum.reduceat(a, starts).view(np.uint64)
     return mix64(out)
 
 
