@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, components, mix64, pack_arrays, partitions, runs_of, span_hashes, steps, text_buffers, unpack_arrays, window_hashes, word_spans, written
+from .shared import U64, components, mix64, pack_arrays, partitions, release, runs_of, span_hashes, steps, text_buffers, unpack_arrays, window_hashes, word_spans, written
 from .substring_dedup import GROUPED, Documents, by_group, grouped_rows, record_batches, split_by
 
 SHINGLE = 5
@@ -188,6 +188,7 @@ def _signed(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
                     [ids, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.ListArray.from_arrays(np.arange(0, len(some) * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.ravel())), pa.array([x.tobytes() for x in sketch], pa.binary())],
                     ["doc_id", "h1", "h2", "bands", "sketch"],
                 )
+        release()
 
     return rows
 

@@ -34,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import STEP_BYTES, U64, mix64, pack_arrays, pack_rows, partitions, runs_of, span_hashes, steps, text_buffers, unpack_arrays, unpack_rows, window_hashes, word_spans
+from .shared import STEP_BYTES, U64, mix64, pack_arrays, pack_rows, partitions, release, runs_of, span_hashes, steps, text_buffers, unpack_arrays, unpack_rows, window_hashes, word_spans
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task gathers before it settles repeats and sends them on.
-GATHER = 1 << 21
+GATHER = 1 << 19
 ROWS_BYTES = 4 << 20
 
 _IN_COVER = np.zeros(PERIOD, bool)
@@ -139,6 +139,8 @@ def record_batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatc
             part, size = [], 0
     if part:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
+    part = []
+    release()
 
 
 def _share(h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,6 +215,8 @@ def _settle(n: int, anchors: bool) -> Callable[[pa.Table], pa.Table]:
             hit = order[hit]
             out += [(g, 0, b) for g, b in _to_groups(docs, doc[hit], pos[hit], n)]
         g, kind, blob = zip(*out, strict=True) if out else ((), (), ())
+        parts = ids = tags = []
+        release()
         return pa.table({"g": pa.array(g, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
     return bucket
@@ -240,7 +244,7 @@ def grouped_rows(n: int, tagged: bool = True) -> Callable[[Iterator[pa.RecordBat
             for a in range(0, batch.num_rows, 256):
                 held.append(batch.slice(a, 256))
                 size += held[-1].nbytes
-                if size >= 16 * STEP_BYTES:
+                if size >= 8 * STEP_BYTES:
                     yield from flushed()
         if held:
             yield from flushed()
