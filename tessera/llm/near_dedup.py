@@ -95,6 +95,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents by cell of their shingles, and documents, over all of ``docs``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, n = np.zeros(CELLS, np.int64), 0
         for batch in batches:
             data, off = text_buffers(batch.column(0))

@@ -19,7 +19,6 @@ retried task repeats them.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import WORD_SPACES
+from .shared import WORD_SPACES, remembered
 
 REMEMBERED = 800_000
 LONGEST = 48
@@ -74,7 +73,7 @@ class WordIds:
         return b"".join(found)
 
 
-@functools.lru_cache(2)
+@remembered
 def _words(path: str) -> WordIds:
     return WordIds(path)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import bounded_sample, remainder
-from .shared import STEP_BYTES, U64, span_hashes, steps, text_buffers, window_hashes, word_spans
+from .shared import STEP_BYTES, U64, release, span_hashes, steps, text_buffers, window_hashes, word_spans
 
 PASSAGE = 64
 HIDDEN, GATES = 16, 8
@@ -217,6 +217,7 @@ def score(docs: DataFrame, model: AttentionModel | float, *keep: str) -> DataFra
     n = len(keep)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = text_buffers(batch.column(n))
             out = np.full(len(off) - 1, held.value if isinstance(held.value, float) else 0.0)

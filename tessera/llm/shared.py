@@ -5,9 +5,10 @@ Arrow buffers, blobs that travel through a shuffle, and connected components.
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_remembered: list = []
+
+
+def remembered(f: Callable) -> Callable:
+    """A loader whose results a Python worker keeps from task to task, until another operator needs the memory."""
+    kept = functools.lru_cache(2)(f)
+    _remembered.append(kept)
+    return kept
+
+
 def release() -> None:
-    """Gives freed memory back to the machine: Python workers live on, and executors hold several beside a large heap."""
+    """Drops what other operators remember and gives freed memory back to the machine: Python workers live on, and
+    executors hold several beside a large heap."""
+    for kept in _remembered:
+        kept.cache_clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -16,7 +16,6 @@ default; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -26,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import remembered
+
 #: White space as the vocabulary's pattern knows it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Contractions that the vocabulary's pattern splits off.
@@ -132,7 +133,7 @@ class PairMerger:
         return sum(map(self._plain, parts)) + len(parts) - 1
 
 
-@functools.lru_cache(2)
+@remembered
 def _merger(path: str) -> PairMerger:
     return PairMerger(path)
 
