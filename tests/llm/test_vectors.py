@@ -106,3 +106,21 @@ def test_recall_on_directions_without_structure():
         d[q] = np.inf
         hit += len(set(rows.tolist()) & set(np.argsort(d)[:10].tolist()))
     assert hit >= 0.9 * 400
+
+
+@pytest.mark.parametrize("n", [700, 6000])
+def test_search_is_exact_beside_a_tight_cluster(n):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + rng.normal(size=x[::3].shape) * 0.002
+    sample = x[rng.permutation(n)[: N.SAMPLE]]
+    pivots = N.pick_pivots(np.concatenate([sample[:5], sample]))
+    dense = np.linalg.norm(pivots - x[0], axis=1) < 0.1
+    assert len(pivots) == N.PIVOTS == len(np.unique(pivots, axis=0)) and dense.sum() > N.PIVOTS / 5
+    index = N.PermutationIndex(x, np.arange(n), pivots)
+    for q in range(120):
+        rows, _ = index.search(x[q], N.nearest_pivots(x[q : q + 1], pivots, index.depth)[0], q, 10)
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert rows.tolist() == np.argsort(d)[:10].tolist()
