@@ -8,15 +8,16 @@ footrule, the same SHARE of a block of any size, are reranked by exact Euclidean
 distance bounds the search: of the other vectors all whose distance by inner products, less its rounding error,
 does not exceed it are reranked, too, so the k found are the k nearest.
 
-Plan: pivots are picked from a bounded sample and broadcast; rows are dealt to blocks by a hash, each with its own
-inverted files, and queries go to every block in chunks; a block returns its best k per query, of
-which the best k remain.  No pairs of rows are made but those k.
+Plan: rows of each vector length are dealt to blocks by a hash, each with its own pivots, from a bounded sample of
+the block, and inverted files; queries go to every block of their length in chunks; a block returns its
+best k per query, of which the best k remain.  No pairs of rows are made but those k.
 
 Cost: one inner product per query and row beside the footrule, so quadratic in rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as query or
-candidate, nor do rows with a null vec_id or a length other than the most common one; equal distances go to
-the smaller vec_id; of rows that repeat a vec_id the one with the least vector counts; an
+candidate, nor do rows with a null vec_id; only vectors of equal length are neighbours; equal distances go to
+the smaller vec_id; exact repeats of a row are one; rows that repeat a vec_id with different vectors are each a
+candidate and ask as one query, whose neighbours are the k nearest of any of them; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embedding_dedup import usable
-from .shared import written
+from .shared import mix64, partitions, written
 
 PIVOTS, SAMPLE, DEPTH = 256, 4096, 192
 SHARE = 0.08
@@ -96,38 +97,32 @@ class PermutationIndex:
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every`` its k nearest found."""
-    spark = vectors.sparkSession
     wide = F.transform("embedding", lambda x: x.cast("double"))
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", wide.alias("e"), F.size("embedding").alias("dim"))
-    schema = "query_id long, rank int, vec_id long, score double"
-    dims = good.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], schema)
-    dim, total = dims[0]
-    good = written(good.where(F.col("dim") == dim).groupBy("vec_id").agg(F.min("e").alias("e")), "search-rows")
-    sample = good.select("e", F.xxhash64("vec_id", F.lit("pivot")).alias("h")).orderBy("h", "e").limit(SAMPLE).collect()
-    pivots = spark.sparkContext.broadcast(pick_pivots(np.array([r.e for r in sample])))
-    n_queries = good.where(F.pmod("vec_id", F.lit(every)) == 0).count()
-    blocks = -(-total // min(MOST_BLOCK, max(LEAST_BLOCK, -(-total // BLOCKS))))
-    chunks = max(1, -(-n_queries // CHUNK))
-    place = F.xxhash64("vec_id", F.lit("block"))
-    rows = good.select(F.pmod(place, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "e")
-    asked = good.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "vec_id", "e")
+    good = written(good.distinct().withColumn("asks", F.pmod("vec_id", F.lit(every)) == 0), "search-rows")
+    sizes = good.groupBy(F.col("dim").alias("d")).agg(F.count("*").alias("total"), F.count_if("asks").alias("n_queries")).where("n_queries > 0")
+    size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("total") / BLOCKS)))
+    sizes = sizes.select("d", F.ceil(F.col("total") / size).alias("blocks"), F.ceil(F.col("n_queries") / CHUNK).alias("chunks"))
+    placed = good.join(sizes, good["dim"] == sizes["d"]).withColumn("place", F.xxhash64("vec_id", "e", F.lit("block")))
+    columns = ["dim", "block", "chunk", "asks", "place", "vec_id", "e"]
+    rows = placed.withColumn("block", F.pmod("place", F.col("blocks"))).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    rows = rows.withColumn("asks", F.lit(False)).select(*columns)
+    asked = placed.where("asks").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("chunk", F.pmod("place", F.col("chunks"))).select(*columns)
 
     def searched(t: pa.Table) -> pa.Table:
         asks, ids = t.column("asks").to_numpy(), t.column("vec_id").to_numpy()
         x = t.column("e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         got: list[tuple[np.ndarray, ...]] = []
-        if (~asks).any():
-            index = PermutationIndex(x[~asks], ids[~asks], pivots.value)
-            queries = np.flatnonzero(asks)
-            for q, order in zip(queries, nearest_pivots(x[queries], pivots.value, index.depth), strict=True):
+        queries, kept = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if len(queries) and len(kept):
+            sample = kept[np.argsort(mix64(t.column("place").to_numpy()[kept].view(np.uint64)), kind="stable")[:SAMPLE]]
+            index = PermutationIndex(x[kept], ids[kept], pick_pivots(x[sample]))
+            for q, order in zip(queries, nearest_pivots(x[queries], index.pivots, index.depth), strict=True):
                 rows, d = index.search(x[q], order, ids[q], k)
                 got.append((np.full(len(rows), ids[q]), index.ids[rows], d))
         cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-    found = rows.unionByName(asked).groupBy("block", "chunk").applyInArrow(searched, "query_id long, vec_id long, score double")
+    found = rows.unionByName(asked).repartition(partitions(vectors.sparkSession), *columns[:3]).groupBy(*columns[:3]).applyInArrow(searched, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -124,3 +124,20 @@ def test_search_is_exact_beside_a_tight_cluster(n):
         d = ((x - x[q]) ** 2).sum(axis=1)
         d[q] = np.inf
         assert rows.tolist() == np.argsort(d)[:10].tolist()
+
+
+def test_every_length_and_every_vector_of_a_repeated_id_take_part(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAST_BLOCK", 32)
+    monkeypatch.setattr(N, "CHUNK", 4)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=24 if i % 3 else 7)], 0, 0) for i in range(240)]
+    rows += [(i, [float(np.float32(v)) for v in rng.normal(size=n)], 0, 0) for i, n in ((20, 24), (31, 24), (31, 7), (60, 24))]
+    got = {}
+    for r in N.nearest(spark.createDataFrame([*rows, rows[1], rows[60]], SCHEMA), every=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 240, 10))
+    for q, found in got.items():
+        asked = [np.array(e) for i, e, *_ in rows if i == q]
+        want = sorted((float(np.sqrt(((a - np.array(e)) ** 2).sum())), i) for a in asked for i, e, *_ in rows if i != q and len(e) == len(a))[:10]
+        assert [(k, i) for k, i, _ in sorted(found)] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+        assert np.allclose([s for *_, s in sorted(found)], [d for d, _ in want], rtol=1e-12)
