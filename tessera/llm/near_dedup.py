@@ -6,7 +6,9 @@ all documents in 2^20 hashed cells.  Improved consistent weighted sampling (r an
 Gamma distribution, beta uniform, the smallest ln a = ln c - r (floor(ln S / r + beta) - beta + 1))
 draws K samples; two documents agree in one with probability their weighted Jaccard similarity.  BANDS
 bands of ROWS samples find candidates; a pair is linked if its exact weighted
-Jaccard similarity is at least ``least``.  Classes are the components of links and exact copies.
+Jaccard similarity is at least ``least``.  With ``plain`` (op7 and the pipeline) as many bands of plain MinHash samples of the sets of
+shingles find candidates, too, and a pair is also linked if its plain Jaccard similarity is at least ``least``, so
+edits weigh no more in a large group than in a pair.  Classes are the components of links and exact copies.
 
 Plan.  Copies (equal word sequences) collapse by a grouped minimum first, so a group of copies is one
 row.  In each band bucket every member is verified against one hub, the member that shares most
@@ -153,8 +155,26 @@ def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int = K) ->
     return mix64(out)
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    h = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(s), axis=0)
+def plain_samples(h: np.ndarray, first: np.ndarray, n: int = K) -> np.ndarray:
+    """n MinHash samples of each text's set of shingles; texts without shingles are not to be passed."""
+    out = np.empty((len(first) - 1, n), np.uint64)
+    i, t, starts = np.empty(len(h), np.uint64), np.empty(len(h), np.uint64), first[:-1]
+    for k in range(n):
+        np.bitwise_xor(h, _SEEDS[k], out=i)
+        np.multiply(i, _ODD, out=i)
+        np.right_shift(i, U64(29), out=t)
+        np.bitwise_xor(i, t, out=i)
+        np.multiply(i, _ODD, out=i)
+        out[:, k] = np.minimum.reduceat(i, starts)
+    return mix64(out)
+
+
+def both_samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray, plain: bool, n: int = K) -> list[np.ndarray]:
+    return [samples(h, weight, first, n)] + [plain_samples(h, first, n)] * plain
+
+
+def band_keys(s: np.ndarray, start: int = 0) -> np.ndarray:
+    h = np.repeat(np.arange(start, start + BANDS, dtype=np.uint64)[None], len(s), axis=0)
     for k in range(ROWS):
         h = mix64(h * _ODD + s[:, k::ROWS])
     return h
@@ -167,10 +187,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
+def plain_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles, without weights."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 SIGNED = "doc_id long, h1 long, h2 long, bands array<long>, sketch binary"
 
 
-def _signed(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+def _signed(idf, plain: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
@@ -180,13 +206,14 @@ def _signed(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
                 some = np.flatnonzero(np.diff(first) > 0)
                 if not len(some):
                     continue
-                s = samples(h, weights(h, count, idf.value), np.append(first[:-1][some], len(h)))
-                bands = band_keys(s).view(np.int64)
-                sketch = np.hstack([s.astype(np.uint8), bands.view(np.uint32)[:, ::2].copy().view(np.uint8)])
+                s = both_samples(h, weights(h, count, idf.value), np.append(first[:-1][some], len(h)), plain)
+                bands = np.hstack([band_keys(x, i * BANDS) for i, x in enumerate(s)]).view(np.int64)
+                n = bands.shape[1]
+                sketch = np.hstack([*(x.astype(np.uint8) for x in s), bands.view(np.uint32)[:, ::2].copy().view(np.uint8)])
                 ids = batch.column(0).take(pa.array(some + a))
                 k = keys[some].view(np.int64)
                 yield pa.record_batch(
-                    [ids, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.ListArray.from_arrays(np.arange(0, len(some) * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.ravel())), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    [ids, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.ListArray.from_arrays(np.arange(0, len(some) * n + 1, n, dtype=np.int32), pa.array(bands.ravel())), pa.array([x.tobytes() for x in sketch], pa.binary())],
                     ["doc_id", "h1", "h2", "bands", "sketch"],
                 )
         release()
@@ -194,8 +221,8 @@ def _signed(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     return rows
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, idf, least: float) -> DataFrame:  # noqa: ANN001
-    """(a, b) of the pairs (hub, doc) whose exact similarity reaches ``least``."""
+def _verified(docs: DataFrame, pairs: DataFrame, idf, least: float, plain: bool) -> DataFrame:  # noqa: ANN001
+    """(a, b) of the pairs (hub, doc) whose exact similarity, or with plain one of the two, reaches ``least``."""
     n = partitions(docs.sparkSession)
     slots = pairs.groupBy(F.col("hub").alias("h")).count().select("h", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
     placed = pairs.join(slots, pairs["hub"] == slots["h"]).withColumn("slot", F.pmod(F.xxhash64("doc"), F.col("slots")).cast("int"))
@@ -226,7 +253,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, idf, least: float) -> DataFrame
                 own = (h, weights(h, count, idf.value))
                 if role == 0:
                     at, centre = (hub, slot), own
-                elif at == (hub, slot) and len(h) and similarity(own, centre) >= least:
+                elif at == (hub, slot) and len(h) and (similarity(own, centre) >= least or plain and plain_similarity(h, centre[0]) >= least):
                     a.append(hub)
                     b.append(i)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -256,7 +283,7 @@ def _least_agreement(least: float, n: int) -> float:
     return n * (least - SIGMAS * np.sqrt(least * (1 - least) / n))
 
 
-def _close(t: pa.Table, least: float, best: bool) -> pa.Table:
+def _close(t: pa.Table, least: float, best: bool, plain: bool) -> pa.Table:
     """Of one tile of a bucket the pairs of different components that may be similar enough.
 
     best: of each member the pair that agrees most; else all, each in its first common band.
@@ -265,15 +292,16 @@ def _close(t: pa.Table, least: float, best: bool) -> pa.Table:
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
     band = t.column("band")[0].as_py()
     raw = np.frombuffer(b"".join(x.as_py() for x in t.column("sketch")), np.uint8).reshape(len(ids), -1)
-    n = raw.shape[1] - 4 * BANDS
-    s, bands = raw[:, :n], np.ascontiguousarray(raw[:, n:]).view(np.uint32)
+    kinds = 1 + plain
+    n = raw.shape[1] // kinds - 4 * BANDS
+    drawn, bands = [raw[:, c * n : (c + 1) * n] for c in range(kinds)], np.ascontiguousarray(raw[:, kinds * n :]).view(np.uint32)
     p, q = np.flatnonzero(own == i), np.flatnonzero(own == j)
     found: list[tuple[int, int]] = []
     top = np.zeros((2, len(ids)), np.int64)  # of each member how far its best pair agrees, and with whom
     for x in p:
         y = q[(comp[q] != comp[x]) & ((ids[q] > ids[x]) | (i != j))]
         for k in (K, n):
-            agree = (s[y, :k] == s[x, :k]).sum(axis=1)
+            agree = np.max([(s[y, :k] == s[x, :k]).sum(axis=1) for s in drawn], axis=0)
             near = agree >= _least_agreement(least, k)
             y, agree = y[near], agree[near]
             if k == n:
@@ -304,16 +332,16 @@ def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     return written(labelled.join(apart, labelled["key"] == apart["k"], "left_semi"), "apart")
 
 
-def _candidates(apart: DataFrame, sketches: DataFrame, least: float, best: bool) -> DataFrame:
+def _candidates(apart: DataFrame, sketches: DataFrame, least: float, best: bool, plain: bool) -> DataFrame:
     """(hub, doc) from the tiles of the buckets; sketches: (s, sketch)."""
     named = apart.join(sketches, apart["doc"] == sketches["s"]).withColumn("blocks", F.ceil(F.col("size") / TILE))
     own = named.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tiles = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "doc", "component", "sketch")
-    found = tiles.groupBy("key", "i", "j").applyInArrow(lambda t: _close(t, least, best), "doc long, hub long")
+    found = tiles.groupBy("key", "i", "j").applyInArrow(lambda t: _close(t, least, best, plain), "doc long, hub long")
     return written(found.select("hub", "doc").distinct(), "close-pairs")
 
 
-def _wide_sketches(docs: DataFrame, ids: DataFrame, bands: DataFrame, idf) -> DataFrame:  # noqa: ANN001
+def _wide_sketches(docs: DataFrame, ids: DataFrame, bands: DataFrame, idf, plain: bool) -> DataFrame:  # noqa: ANN001
     """(s, sketch) with WIDE samples of the documents ``ids`` (doc); bands: (s, sketch) of all."""
     n = partitions(docs.sparkSession)
 
@@ -325,13 +353,13 @@ def _wide_sketches(docs: DataFrame, ids: DataFrame, bands: DataFrame, idf) -> Da
                 h, count, first, _ = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 some = np.flatnonzero(np.diff(first) > 0)
                 if len(some):
-                    s = samples(h, weights(h, count, idf.value), np.append(first[:-1][some], len(h)), WIDE).astype(np.uint8)
+                    s = np.hstack([x.astype(np.uint8) for x in both_samples(h, weights(h, count, idf.value), np.append(first[:-1][some], len(h)), plain, WIDE)])
                     yield pa.record_batch([rows.column(0).combine_chunks().take(pa.array(some + a)), pa.array([x.tobytes() for x in s], pa.binary())], ["w", "wide"])
 
     asked = ids.select(F.col("doc").alias("doc_id")).distinct().mapInArrow(_names(n), GROUPED)
     texts = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(grouped_rows(n, tagged=False), GROUPED)
     wide = texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(drawn, "w long, wide binary").dropDuplicates(["w"])
-    return wide.join(bands, wide["w"] == bands["s"]).select("s", F.concat("wide", F.expr(f"substring(sketch, {K + 1}, {4 * BANDS})")).alias("sketch"))
+    return wide.join(bands, wide["w"] == bands["s"]).select("s", F.concat("wide", F.expr(f"substring(sketch, {(1 + plain) * K + 1}, {(1 + plain) * 4 * BANDS})")).alias("sketch"))
 
 
 def _names(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -356,12 +384,12 @@ class Named:
         self.ids.update(unpack_arrays(blob)[0].tolist())
 
 
-def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, kept) of every document."""
+def near_classes(docs: DataFrame, least: float = 0.8, plain: bool = False) -> DataFrame:
+    """(doc_id, class_id, kept) of every document; plain: pairs of that plain Jaccard similarity are links, too."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(texts)))
-    signed = written(texts.mapInArrow(_signed(idf), SIGNED), "signed")
+    signed = written(texts.mapInArrow(_signed(idf, plain), SIGNED), "signed")
     copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     named = signed.select("doc_id", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
     same = named.join(copies, (named["k1"] == copies["h1"]) & (named["k2"] == copies["h2"])).select("doc_id", "first_id")
@@ -376,14 +404,14 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     ranked = rows.join(degree, rows["doc"] == degree["d"]).drop("d")
     hubs = ranked.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("top")).select("k", (-F.col("top.doc")).alias("hub"))
     pairs = rows.join(hubs, rows["key"] == hubs["k"]).where("doc <> hub").select("hub", "doc").distinct()
-    links = written(_verified(docs, written(pairs, "hub-pairs"), idf, least), "hub-links")
+    links = written(_verified(docs, written(pairs, "hub-pairs"), idf, least, plain), "hub-links")
 
     sketches = firsts.select(F.col("doc_id").alias("s"), "sketch")
-    best = _verified(docs, _candidates(_apart(rows, links), sketches, least, True), idf, least)
+    best = _verified(docs, _candidates(_apart(rows, links), sketches, least, True, plain), idf, least, plain)
     links = written(links.unionByName(best), "best-links")
     apart = _apart(rows, links)
-    wide = _wide_sketches(docs, apart, sketches, idf)
-    more = _verified(docs, _candidates(apart, wide, least, False), idf, least)
+    wide = _wide_sketches(docs, apart, sketches, idf, plain)
+    more = _verified(docs, _candidates(apart, wide, least, False, plain), idf, least, plain)
 
     edges = links.unionByName(more).unionByName(same.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))
     found = components(edges, "near")
@@ -392,10 +420,10 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def near_distinct(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def near_distinct(docs: DataFrame, least: float = 0.8, plain: bool = False) -> DataFrame:
     """The documents that stay, one of each class, with their own columns."""
     n = partitions(docs.sparkSession)
-    gone = near_classes(docs, least).where("not kept").select("doc_id").distinct()
+    gone = near_classes(docs, least, plain).where("not kept").select("doc_id").distinct()
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for marks, rows in by_group(batches, Named):

@@ -48,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_classes
 
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"), plain=True)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import near_dedup as M
+from tessera.llm.queries import op7_near_dedup
 from tessera.llm.shared import U64, text_buffers
 
 SCHEMA = "doc_id long, text string, g string, kind int, component long"
@@ -89,3 +90,24 @@ def test_samples_agree_as_often_as_sets_are_similar():
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert M.near_classes(df).count() == 0 and M.near_distinct(df).count() == 0
+
+
+def test_plain_samples_agree_as_often_as_sets_are_similar():
+    h = np.sort(np.random.default_rng(6).integers(0, 1 << 48, 400, np.uint64))
+    s = M.plain_samples(np.concatenate([h, h[40:]]), np.array([0, 400, 760]), M.WIDE)
+    assert M.plain_similarity(h, h[40:]) == 0.9 and (s[0] == s[1]).mean() == pytest.approx(0.9, abs=0.03)
+
+
+def test_a_copy_in_a_hot_group_needs_no_more_than_one_in_a_pair(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    hot = [word() for _ in range(100)]
+    texts = [hot[:-4] + [word() for _ in range(4)] for _ in range(120)] + [[word() for _ in range(100)] for _ in range(240)]
+    edited = list(hot)  # two single words of a hundred: 0.81 of the middle of the group
+    edited[30], edited[60] = word(), word()
+    rows = [(0, " ".join(hot)), (1, " ".join(edited))] + [(10 + i, " ".join(w)) for i, w in enumerate(texts)]
+    h, _, first, _ = M.shingles(*text_buffers(pa.array([rows[0][1], rows[1][1]])))
+    assert 0.8 <= M.plain_similarity(h[: first[1]], h[first[1] :]) < 0.82
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.class_id for r in op7_near_dedup(spark, str(tmp_path)).collect()}
+    assert found[1] == 0 and len({found[i] for i in range(130, 370)}) == 240
