@@ -23,7 +23,8 @@ Nothing else reaches the driver.
 A pair of similarity 0.8 is missed by all bands with probability 7e-5, one of 0.85 with 8e-7.
 
 Defined results: a null text, or one without words, is a class of its own, as is a row with a null doc_id (class
-null); a text of one to four words is one shingle; rows that repeat a doc_id are one document;
+null); a text of one to four words is one shingle; rows that repeat a doc_id with the same text are one document, ones
+with different texts are documents of their own, of which in one class the one of the smallest key stays;
 a class is named by its smallest doc_id, which is the one that stays; an empty table
 gives an empty result; other columns are carried by ``near_distinct``, ignored otherwise.
 """
@@ -384,8 +385,40 @@ class Named:
         self.ids.update(unpack_arrays(blob)[0].tolist())
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a key of doc_id and text as doc_id, and (key, id) where that is not doc_id itself: for all texts but one of
+    a doc_id that repeats with different texts."""
+    told = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    several = told.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select(F.col("doc_id").alias("id"), "low")
+    several = written(several, "several-texts")
+    if several.isEmpty():
+        return docs, None
+    extra = told.join(several, told["doc_id"] == several["id"]).where("h <> low").select("id", "h").distinct()
+    extra = written(extra.select("id", "h", F.xxhash64("id", "h", F.lit("text")).alias("key")), "keys")
+    with_key = docs.withColumn("_h", F.xxhash64("text")).join(extra, (F.col("doc_id") == extra["id"]) & (F.col("_h") == extra["h"]), "left")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return with_key.select(F.coalesce("key", "doc_id").alias("doc_id"), *rest, F.col("doc_id").alias("_id")), extra.select("key", "id")
+
+
 def near_classes(docs: DataFrame, least: float = 0.8, plain: bool = False) -> DataFrame:
     """(doc_id, class_id, kept) of every document; plain: pairs of that plain Jaccard similarity are links, too."""
+    keyed, extra = _keyed(docs.select("doc_id", "text"))
+    return _named(_key_classes(keyed, least, plain), extra).select("doc_id", "class_id", "kept")
+
+
+def _named(classes: DataFrame, extra: DataFrame | None) -> DataFrame:
+    """(key, doc_id, class_id, kept): a class is named by its smallest doc_id."""
+    if extra is None:
+        return classes.withColumn("key", F.col("doc_id"))
+    rows = classes.select(F.col("doc_id").alias("k"), F.col("class_id").alias("c"))
+    rows = written(rows.join(extra, rows["k"] == extra["key"], "left").select("k", "c", F.coalesce("id", "k").alias("id")), "members")
+    top = rows.where("c is not null").groupBy(F.col("c").alias("t")).agg(F.min(F.struct("id", "k")).alias("top"))
+    out = rows.join(top, rows["c"] == top["t"], "left")
+    return out.select(F.col("k").alias("key"), F.col("id").alias("doc_id"), F.col("top.id").alias("class_id"), F.coalesce(F.col("k") == F.col("top.k"), F.lit(True)).alias("kept"))
+
+
+def _key_classes(docs: DataFrame, least: float, plain: bool) -> DataFrame:
+    """(doc_id, class_id, kept) of documents that repeat a doc_id with the same text alone."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(texts)))
@@ -423,14 +456,18 @@ def near_classes(docs: DataFrame, least: float = 0.8, plain: bool = False) -> Da
 def near_distinct(docs: DataFrame, least: float = 0.8, plain: bool = False) -> DataFrame:
     """The documents that stay, one of each class, with their own columns."""
     n = partitions(docs.sparkSession)
-    gone = near_classes(docs, least, plain).where("not kept").select("doc_id").distinct()
+    keyed, extra = _keyed(docs)
+    if extra is not None:
+        keyed = written(keyed, "keyed")
+    gone = _named(_key_classes(keyed, least, plain), extra).where("not kept").select(F.col("key").alias("doc_id")).distinct()
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for marks, rows in by_group(batches, Named):
             left = rows.filter(pa.array([i is None or i not in marks.ids for i in rows.column(0).to_pylist()]))
             yield from left.combine_chunks().to_batches()
 
-    whole = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    whole = keyed.select("doc_id", "text", *[c for c in keyed.columns if c not in ("doc_id", "text")])
     grouped = whole.mapInArrow(grouped_rows(n, tagged=False), GROUPED).unionAll(gone.mapInArrow(_names(n), GROUPED))
-    return grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(stay, whole.schema).select(*docs.columns)
+    left = grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(stay, whole.schema)
+    return (left if extra is None else left.withColumn("doc_id", F.col("_id"))).select(*docs.columns)
 

@@ -111,3 +111,15 @@ def test_a_copy_in_a_hot_group_needs_no_more_than_one_in_a_pair(spark, tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r.class_id for r in op7_near_dedup(spark, str(tmp_path)).collect()}
     assert found[1] == 0 and len({found[i] for i in range(130, 370)}) == 240
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "y"), (3, b, "x"), (4, c, "x"), (2, "", "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, g string")
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.kept) for r in M.near_classes(df).collect()))
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False), (4, 4, True)]
+    left = M.near_distinct(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[2], *rows[4:]], key=str)
