@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, components, mix64, pack_arrays, partitions, release, runs_of, span_hashes, steps, text_buffers, unpack_arrays, window_hashes, word_spans, written
-from .substring_dedup import GROUPED, Documents, by_group, grouped_rows, record_batches, split_by
+from .shared import U64, components, mix64, pack_arrays, pack_rows, partitions, release, runs_of, span_hashes, steps, summed_blocks, text_buffers, unpack_arrays, window_hashes, word_spans, written
+from .substring_dedup import GROUPED, ROWS_BYTES, Documents, by_group, grouped_rows, record_batches, split_by
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -57,14 +57,33 @@ _SEEDS = _rng.integers(0, 1 << 63, WIDE, np.uint64)
 _ODD = U64(0xD6E8FEB86659FD93)
 
 
+#: Samples take a weight's logarithm in steps of 1 / LEVELS; those from LOW on are in the table, rarer ones are computed.
+LEVELS, LOW, HIGH = 8, -8, 21
+DRAWS = 1 << 16
+
+
 @functools.cache
 def _draws() -> tuple[np.ndarray, ...]:
-    """(1 / r, beta, r, ln c + ...) of 65,536 draws, which a shingle picks one of for each sample."""
+    """(r, beta, ln c) of 65,536 draws, which a shingle picks one of for each sample."""
     rng = np.random.default_rng(37)
-    r = rng.gamma(2.0, 1.0, 1 << 16)
-    c = rng.gamma(2.0, 1.0, 1 << 16)
-    beta = rng.random(1 << 16)
-    return 1 / r, beta, r, np.log(c) + r * (beta - 1)
+    r = rng.gamma(2.0, 1.0, DRAWS)
+    c = rng.gamma(2.0, 1.0, DRAWS)
+    return r, rng.random(DRAWS), np.log(c)
+
+
+def _drawn(draw: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """ln a for draws and levels of weight, as numbers in the high half of a machine word that order like it."""
+    r, beta, log_c = (x[draw] for x in _draws())
+    a = log_c - r * (np.floor(level / LEVELS / r + beta) - beta + 1)
+    bits = a.astype(np.float32).view(np.uint32)
+    return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << U64(32)
+
+
+@functools.cache
+def _table() -> np.ndarray:
+    """The same for all draws and all levels from LOW to HIGH, in a row: 15 MB."""
+    every = np.arange(DRAWS)
+    return np.concatenate([_drawn(every, np.full(DRAWS, v)) for v in range(LOW, HIGH + 1)])
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,16 +129,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 new[1:] = (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])
                 total += np.bincount(cell[new], minlength=CELLS)
                 n += b - a
-        blocks = range(CELLS // BLOCK)
-        yield pa.record_batch([pa.array(blocks, pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array([pack_arrays(total[b * BLOCK : (b + 1) * BLOCK]) for b in blocks], pa.binary())], ["block", "n", "counts"])
-
-    def summed(t: pa.Table) -> pa.Table:
-        counts = sum(unpack_arrays(x.as_py())[0] for x in t.column("counts"))
-        return pa.table({"block": t.column("block")[:1], "n": [sum(t.column("n").to_pylist())], "counts": pa.array([pack_arrays(counts)], pa.binary())})
+        for b in range(CELLS // BLOCK if n else 0):
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([pack_arrays(total[b * BLOCK : (b + 1) * BLOCK])], pa.binary())], ["block", "n", "counts"])
 
-    schema = "block int, n long, counts binary"
     df, n = np.zeros(CELLS, np.int64), 0
-    for r in docs.select("text").mapInArrow(counted, schema).groupBy("block").applyInArrow(summed, schema).collect():
+    for r in summed_blocks(docs.select("text").mapInArrow(counted, "block int, n long, counts binary")).collect():
         df[r.block * BLOCK : (r.block + 1) * BLOCK] = unpack_arrays(bytes(r.counts))[0]
         n = r.n
     return df, n
@@ -135,24 +149,25 @@ def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int = K) -> np.ndarray:
     """n samples of each text; texts without shingles are not to be passed."""
-    inv, beta, r, base = _draws()
-    log, own = np.round(np.log(weight), 9), (h & U64(0xFFFFFF)).astype(np.float64) * 1e-12
+    table, level = _table(), np.maximum(np.rint(np.log(weight) * LEVELS), LOW).astype(np.int64)
+    heavy = np.flatnonzero(level > HIGH)
+    base, own = (np.minimum(level, HIGH) - LOW) * DRAWS, h & U64(0xFFFFFFFF)  # own tells shingles of one draw apart
     out = np.empty((len(first) - 1, n), np.uint64)
-    i, a, t = np.empty(len(h), np.uint64), np.empty(len(h)), np.empty(len(h))
-    at, starts = i.view(np.int64), first[:-1]
+    mixed, a, at = np.empty(len(h), np.uint64), np.empty(len(h), np.uint64), np.empty(len(h), np.int64)
+    draw, starts = mixed.view(np.uint16).reshape(-1, 4), first[:-1]
     for k in range(n):
-        np.bitwise_xor(h, _SEEDS[k], out=i)
-        np.multiply(i, _ODD, out=i)
-        np.right_shift(i, U64(48), out=i)
-        np.take(inv, at, out=t, mode="clip")
-        t *= log
-        t += np.take(beta, at, out=a, mode="clip")
-        np.floor(t, out=t)
-        t *= np.take(r, at, out=a, mode="clip")
-        np.take(base, at, out=a, mode="clip")
-        a -= t
-        a += own  # tells shingles of one draw apart
-        out[:, k] = np.minimum.reduceat(a, starts).view(np.uint64)
+        if k % 4 == 0:  # four draws from one word
+            np.bitwise_xor(h, _SEEDS[k], out=mixed)
+            np.multiply(mixed, _ODD, out=mixed)
+            np.right_shift(mixed, U64(29), out=a)
+            np.bitwise_xor(mixed, a, out=mixed)
+            np.multiply(mixed, _ODD, out=mixed)
+        np.add(base, draw[:, k % 4], out=at)
+        np.take(table, at, out=a, mode="clip")
+        if len(heavy):
+            a[heavy] = _drawn(draw[heavy, k % 4], level[heavy])
+        np.bitwise_or(a, own, out=a)
+        out[:, k] = np.minimum.reduceat(a, starts)
     return mix64(out)
 
 
@@ -199,6 +214,7 @@ SIGNED = "doc_id long, h1 long, h2 long, bands array<long>, sketch binary"
 
 def _signed(idf, plain: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             data, off = text_buffers(batch.column(1))
@@ -222,29 +238,44 @@ def _signed(idf, plain: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return rows
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, idf, least: float, plain: bool) -> DataFrame:  # noqa: ANN001
-    """(a, b) of the pairs (hub, doc) whose exact similarity, or with plain one of the two, reaches ``least``."""
-    n = partitions(docs.sparkSession)
-    slots = pairs.groupBy(F.col("hub").alias("h")).count().select("h", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
-    placed = pairs.join(slots, pairs["hub"] == slots["h"]).withColumn("slot", F.pmod(F.xxhash64("doc"), F.col("slots")).cast("int"))
+def _verified(texts: DataFrame, pairs: DataFrame, idf, least: float, plain: bool) -> DataFrame:  # noqa: ANN001
+    """(a, b) of the pairs (hub, doc), a written table, whose exact similarity, or with plain one of the two, reaches ``least``.
+
+    texts: packed texts by group.  A hub of more than SLOT members is compared in several places; there are few such hubs.
+    """
+    n = partitions(texts.sparkSession)
+    hot = pairs.groupBy(F.col("hub").alias("h")).count().where(F.col("count") > SLOT).select("h", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
+    hot = written(hot, "hot-hubs")
+    placed = pairs.join(hot, pairs["hub"] == hot["h"], "left").withColumn("slot", F.when(F.col("h").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("slots"))).cast("int"))
     members = placed.select(F.col("doc").alias("doc_id"), "hub", "slot", F.lit(1).alias("role"))
-    hubs = slots.select(F.col("h").alias("doc_id"), F.col("h").alias("hub"), F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), F.lit(0).alias("role"))
+    hubs = placed.select(F.col("hub").alias("doc_id"), "hub", "slot", F.lit(0).alias("role")).distinct()
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, hub, slot, role = (c.to_numpy() for c in batch.columns)
             groups = Documents(ids, np.zeros(len(ids), np.uint32)).groups(n)
             yield from record_batches(((g, 0, pack_arrays(ids[i], hub[i], slot[i], role[i])) for g, i in split_by(groups)), GROUPED)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for asked, rows in by_group(batches, Requests):
-            ids, texts = rows.column(0).to_pylist(), rows.column(1)
-            out = [(hub, slot, role, i, pack_arrays(np.frombuffer((t.as_py() or "").encode(), np.uint8))) for i, t in zip(ids, texts, strict=True) for hub, slot, role in asked.of(i)]
-            for k in range(0, len(out), 512):
-                hub, slot, role, i, blob = zip(*out[k : k + 512], strict=True)
-                yield pa.record_batch([pa.array(hub, pa.int64()), pa.array(slot, pa.int32()), pa.array(role, pa.int32()), pa.array(i, pa.int64()), pa.array(blob, pa.binary())], ["hub", "slot", "role", "doc_id", "blob"])
+            ids, own = rows.column(0).to_pylist(), rows.column(1)
+            out, size = [], 0
+            for i, t in zip(ids, own, strict=True):
+                if wanted := asked.of(i):
+                    blob = pack_arrays(np.frombuffer((t.as_py() or "").encode(), np.uint8))
+                    for hub, slot, role in wanted:
+                        out.append((hub, slot, role, i, blob))
+                        size += len(blob)
+                        if size >= ROWS_BYTES:
+                            yield _answers(out)
+                            out, size = [], 0
+            if out:
+                yield _answers(out)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         at, centre = None, None
         for batch in batches:
             a, b = [], []
@@ -260,11 +291,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, idf, least: float, plain: bool)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     asked = members.unionByName(hubs).mapInArrow(requests, GROUPED)
-    texts = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(grouped_rows(n, tagged=False), GROUPED)
-    sent = texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(answered, "hub long, slot int, role int, doc_id long, blob binary")
+    sent = texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(answered, ANSWERED)
     return sent.repartition(n, "hub", "slot").sortWithinPartitions("hub", "slot", "role").mapInArrow(compared, "a long, b long")
 
 
+ANSWERED = "hub long, slot int, role int, doc_id long, blob binary"
+
+
+def _answers(rows: list[tuple]) -> pa.RecordBatch:
+    hub, slot, role, i, blob = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(hub, pa.int64()), pa.array(slot, pa.int32()), pa.array(role, pa.int32()), pa.array(i, pa.int64()), pa.array(blob, pa.binary())], ["hub", "slot", "role", "doc_id", "blob"])
+
+
 class Requests:
     """Who asks for which document of a group."""
 
@@ -289,18 +327,20 @@ def _close(t: pa.Table, least: float, best: bool, plain: bool) -> pa.Table:
 
     best: of each member the pair that agrees most; else all, each in its first common band.
     """
-    ids, comp, own = (t.column(c).to_numpy() for c in ("doc", "component", "own"))
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    release()
+    ids, comp, side = (t.column(c).to_numpy() for c in ("doc", "component", "side"))
+    alone = t.column("kind")[0].as_py() == 1 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
     band = t.column("band")[0].as_py()
     raw = np.frombuffer(b"".join(x.as_py() for x in t.column("sketch")), np.uint8).reshape(len(ids), -1)
     kinds = 1 + plain
     n = raw.shape[1] // kinds - 4 * BANDS
     drawn, bands = [raw[:, c * n : (c + 1) * n] for c in range(kinds)], np.ascontiguousarray(raw[:, kinds * n :]).view(np.uint32)
-    p, q = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    p = np.flatnonzero(side == 0)
+    q = p if alone else np.flatnonzero(side == 1)
     found: list[tuple[int, int]] = []
     top = np.zeros((2, len(ids)), np.int64)  # of each member how far its best pair agrees, and with whom
     for x in p:
-        y = q[(comp[q] != comp[x]) & ((ids[q] > ids[x]) | (i != j))]
+        y = q[(comp[q] != comp[x]) & ((ids[q] > ids[x]) | (not alone))]
         for k in (K, n):
             agree = np.max([(s[y, :k] == s[x, :k]).sum(axis=1) for s in drawn], axis=0)
             near = agree >= _least_agreement(least, k)
@@ -325,28 +365,76 @@ def _close(t: pa.Table, least: float, best: bool, plain: bool) -> pa.Table:
     return pa.table({"doc": a.max(axis=1) if len(a) else np.zeros(0, np.int64), "hub": a.min(axis=1) if len(a) else np.zeros(0, np.int64)})
 
 
-def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold several components."""
+def _apart(rows: DataFrame, links: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(key, band, doc, component, big, n_big, n_rest): members of the buckets that still hold several components; near: the only documents (n) that matter.
+
+    big: the member's component is the bucket's largest; n_big and n_rest: members of that one and of the others.
+    """
     found = components(links, "near")
-    labelled = rows.join(found, rows["doc"] == found["node"], "left").select("key", "band", "doc", "size", F.coalesce("component", "doc").alias("component"))
-    apart = labelled.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("k")
-    return written(labelled.join(apart, labelled["key"] == apart["k"], "left_semi"), "apart")
+    if near is not None:
+        rows = rows.join(near, rows["doc"] == near["n"], "left_semi")
+    labelled = written(rows.join(found, rows["doc"] == found["node"], "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
+    parts = labelled.groupBy("key", "component").count()
+    top = parts.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("count", (-F.col("component")).alias("c"))).alias("top"), F.sum("count").alias("size"), F.count("*").alias("parts"))
+    top = written(top.where("parts > 1").select("k", (-F.col("top.c")).alias("c"), F.col("top.count").alias("n_big"), (F.col("size") - F.col("top.count")).alias("n_rest")), "tops")
+    apart = labelled.join(top, labelled["key"] == top["k"])
+    return written(apart.select("key", "band", "doc", "component", (F.col("component") == F.col("c")).alias("big"), "n_big", "n_rest"), "apart")
 
 
 def _candidates(apart: DataFrame, sketches: DataFrame, least: float, best: bool, plain: bool) -> DataFrame:
-    """(hub, doc) from the tiles of the buckets; sketches: (s, sketch)."""
-    named = apart.join(sketches, apart["doc"] == sketches["s"]).withColumn("blocks", F.ceil(F.col("size") / TILE))
-    own = named.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    tiles = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "doc", "component", "sketch")
-    found = tiles.groupBy("key", "i", "j").applyInArrow(lambda t: _close(t, least, best, plain), "doc long, hub long")
+    """(hub, doc) from the tiles of the buckets; sketches: (s, sketch).
+
+    Members of a bucket's largest component meet those of the others (kind 0), and the others each other (kind 1); none meets its
+    own component's, so a stray document in a large group costs rows in proportion to the group.
+    """
+    blocks = lambda c: F.ceil(F.col(c) / TILE)
+    named = apart.join(sketches, apart["doc"] == sketches["s"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.when(F.col("big"), blocks("n_big")).otherwise(blocks("n_rest"))))
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    own = F.col("own")
+    with_rest = F.transform(F.sequence(F.lit(0), blocks("n_rest") - 1), lambda j: cell(0, own, j, F.lit(0)))
+    with_big = F.transform(F.sequence(F.lit(0), blocks("n_big") - 1), lambda i: cell(0, i, own, F.lit(1)))
+    among = F.transform(F.sequence(F.lit(0), blocks("n_rest") - 1), lambda o: cell(1, F.least(own, o), F.greatest(own, o), own > o))
+    placed = named.withColumn("t", F.explode(F.when(F.col("big"), with_rest).otherwise(F.concat(with_big, among))))
+    tiles = placed.select("key", "t.kind", "t.i", "t.j", "t.side", "band", "doc", "component", "sketch")
+    found = tiles.groupBy("key", "kind", "i", "j").applyInArrow(lambda t: _close(t, least, best, plain), "doc long, hub long")
     return written(found.select("hub", "doc").distinct(), "close-pairs")
 
 
-def _wide_sketches(docs: DataFrame, ids: DataFrame, bands: DataFrame, idf, plain: bool) -> DataFrame:  # noqa: ANN001
-    """(s, sketch) with WIDE samples of the documents ``ids`` (doc); bands: (s, sketch) of all."""
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the documents ``ids`` (doc), packed by group, as a written table."""
     n = partitions(docs.sparkSession)
 
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        parts: list[pa.Table] = []
+        size = 0
+        for asked, rows in by_group(batches, Named):
+            rows = rows.filter(pa.array([i in asked.ids for i in rows.column(0).to_pylist()], pa.bool_()))
+            parts.append(rows)
+            size += rows.nbytes
+            if size >= ROWS_BYTES:
+                yield from _packed(parts, n)
+                parts, size = [], 0
+        yield from _packed(parts, n)
+
+    asked = ids.select(F.col("doc").alias("doc_id")).distinct().mapInArrow(_names(n), GROUPED)
+    texts = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(grouped_rows(n, tagged=False), GROUPED)
+    return written(texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(picked, GROUPED), "bucket-texts")
+
+
+def _packed(parts: list[pa.Table], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in pa.concat_tables(parts).combine_chunks().to_batches() if parts else ():
+        ids = batch.column(0).to_numpy()
+        groups = Documents(ids, np.zeros(len(ids), np.uint32)).groups(n)
+        yield from record_batches(((g, 1, pack_rows(batch.take(pa.array(i)))) for g, i in split_by(groups)), GROUPED)
+
+
+def _wide_sketches(texts: DataFrame, ids: DataFrame, bands: DataFrame, idf, plain: bool) -> DataFrame:  # noqa: ANN001
+    """(s, sketch) with WIDE samples of the documents ``ids`` (doc); bands: (s, sketch) of all; texts: packed."""
+    n = partitions(texts.sparkSession)
+
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for asked, rows in by_group(batches, Named):
             rows = rows.filter(pa.array([i in asked.ids for i in rows.column(0).to_pylist()], pa.bool_()))
             data, off = text_buffers(rows.column(1))
@@ -358,7 +446,6 @@ def _wide_sketches(docs: DataFrame, ids: DataFrame, bands: DataFrame, idf, plain
                     yield pa.record_batch([rows.column(0).combine_chunks().take(pa.array(some + a)), pa.array([x.tobytes() for x in s], pa.binary())], ["w", "wide"])
 
     asked = ids.select(F.col("doc").alias("doc_id")).distinct().mapInArrow(_names(n), GROUPED)
-    texts = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(grouped_rows(n, tagged=False), GROUPED)
     wide = texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(drawn, "w long, wide binary").dropDuplicates(["w"])
     return wide.join(bands, wide["w"] == bands["s"]).select("s", F.concat("wide", F.expr(f"substring(sketch, {(1 + plain) * K + 1}, {(1 + plain) * 4 * BANDS})")).alias("sketch"))
 
@@ -423,28 +510,34 @@ def _key_classes(docs: DataFrame, least: float, plain: bool) -> DataFrame:
     texts = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(texts)))
     signed = written(texts.mapInArrow(_signed(idf, plain), SIGNED), "signed")
-    copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
+    copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     named = signed.select("doc_id", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    copies = written(copies.where("n > 1"), "copied")
     same = named.join(copies, (named["k1"] == copies["h1"]) & (named["k2"] == copies["h2"])).select("doc_id", "first_id")
     same = written(same.where("doc_id <> first_id"), "copies")
     repeated = same.select("doc_id").distinct()
     firsts = signed.join(repeated, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
     rows = firsts.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "key"))
-    full = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), F.col("count").alias("size"))
+    full = written(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("k"), F.col("count").alias("size")), "full-buckets")
     rows = written(rows.join(full, rows["key"] == full["k"]).drop("k"), "buckets")
     degree = rows.groupBy(F.col("doc").alias("d")).agg(F.sum(F.col("size") - 1).alias("degree"))
     ranked = rows.join(degree, rows["doc"] == degree["d"]).drop("d")
     hubs = ranked.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("top")).select("k", (-F.col("top.doc")).alias("hub"))
+    hubs = written(hubs, "hubs")
     pairs = rows.join(hubs, rows["key"] == hubs["k"]).where("doc <> hub").select("hub", "doc").distinct()
-    links = written(_verified(docs, written(pairs, "hub-pairs"), idf, least, plain), "hub-links")
+    bucketed = _chosen(docs, rows)
+    links = written(_verified(bucketed, written(pairs, "hub-pairs"), idf, least, plain), "hub-links")
 
     sketches = firsts.select(F.col("doc_id").alias("s"), "sketch")
-    best = _verified(docs, _candidates(_apart(rows, links), sketches, least, True, plain), idf, least, plain)
+    close = _candidates(_apart(rows, links), sketches, least, True, plain)
+    best = _verified(bucketed, close, idf, least, plain)
     links = written(links.unionByName(best), "best-links")
-    apart = _apart(rows, links)
-    wide = _wide_sketches(docs, apart, sketches, idf, plain)
-    more = _verified(docs, _candidates(apart, wide, least, False, plain), idf, least, plain)
+    # A document that no other is close to by its first samples has no pair left to look for.
+    near = written(close.select(F.explode(F.array("hub", "doc")).alias("n")).distinct(), "near-documents")
+    apart = _apart(rows, links, near)
+    wide = _wide_sketches(bucketed, apart, sketches, idf, plain)
+    more = _verified(bucketed, _candidates(apart, wide, least, False, plain), idf, least, plain)
 
     edges = links.unionByName(more).unionByName(same.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))
     found = components(edges, "near")
@@ -462,6 +555,7 @@ def near_distinct(docs: DataFrame, least: float = 0.8, plain: bool = False) -> D
     gone = _named(_key_classes(keyed, least, plain), extra).where("not kept").select(F.col("key").alias("doc_id")).distinct()
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for marks, rows in by_group(batches, Named):
             left = rows.filter(pa.array([i is None or i not in marks.ids for i in rows.column(0).to_pylist()]))
             yield from left.combine_chunks().to_batches()

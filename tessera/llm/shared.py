@@ -1,4 +1,4 @@
-"""Helpers that several corpus operators share: written tables, word hashing on
+"""Helpers that several corpus operators share: word hashing on
 Arrow buffers, blobs that travel through a shuffle, and connected components.
 """
 
@@ -6,8 +6,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Words are maximal runs of anything but these six ASCII characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
@@ -25,32 +25,7 @@ STEP_BYTES = 1 << 20
 U64 = np.uint64
 
 
-# ---------------------------------------------------------------- written tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    global _own_dir
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _own_dir
-
-
-_own_dir: str | None = None
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
+# ---------------------------------------------------------------- memory of Python workers
 _remembered: list = []
 
 
@@ -61,11 +36,12 @@ def remembered(f: Callable) -> Callable:
     return kept
 
 
-def release() -> None:
+def release(keep: Callable | None = None) -> None:
     """Drops what other operators remember and gives freed memory back to the machine: Python workers live on, and
-    executors hold several beside a large heap."""
+    executors hold several beside a large heap.  keep: the loader whose results are still needed."""
     for kept in _remembered:
-        kept.cache_clear()
+        if kept is not keep:
+            kept.cache_clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -139,15 +115,19 @@ def steps(data: np.ndarray, off: np.ndarray, limit: int = STEP_BYTES) -> Iterato
         a = b
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte spans of the words; row i has words first[i] to first[i + 1]."""
+def word_spans(data: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte spans of the words; row i has words first[i] to first[i + 1].
+
+    cut: bytes at which another word begins, though no space stands before them.
+    """
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
     solid = ~_SPACE[data]
     begin, end = solid.copy(), solid.copy()
-    begin[1:] &= ~solid[:-1]
-    end[:-1] &= ~solid[1:]
+    border = ~solid if cut is None else ~solid | cut
+    begin[1:] &= ~solid[:-1] if cut is None else ~solid[:-1] | cut[1:]
+    end[:-1] &= border[1:]
     full = off[1:] > off[:-1]
     a, b = off[:-1][full], off[1:][full] - 1
     begin[a], end[b] = solid[a], solid[b]
@@ -181,21 +161,20 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``edges`` (a, b).
 
-    Alternating large-star and small-star steps, each a grouped minimum joined back;
-    a written table ends the lineage of each round.  Nothing is gathered on the driver
-    but one row of sums a round.
+    Alternating large-star and small-star steps.  A node has smaller neighbours only as the larger end u of a link,
+    so the least neighbour of each such node is a grouped minimum, and a root, to which a whole
+    component may point, is never grouped by: it meets those minima in a join of two written tables, whose
+    hot key adaptive execution splits.  Nothing is gathered on the driver but one row of sums a round.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, what)
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
     state = None
     while True:
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(small.where("u <> v").distinct(), what)
+        least = written(e.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), what)
+        large = e.join(least, e["v"] == least["x"], "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = written(large, what)
+        down = written(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), what)
+        small = large.join(down, large["u"] == down["x"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(down.select(F.col("x").alias("u"), F.col("m").alias("v")).unionAll(small).distinct(), what)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
@@ -204,6 +183,40 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
+# ---------------------------------------------------------------- counts by block
+def summed_blocks(counts: DataFrame, groups: int = 64) -> DataFrame:
+    """(block, n, counts): sums of the packed arrays ``counts`` (block int, n long, counts binary), one row per block.
+
+    Two rounds, of the tasks that share a remainder and of those sums; each adds up one array after the other as they come,
+    so a task holds two arrays, however many tasks counted.
+    """
+    n = min(partitions(counts.sparkSession), 64)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, rows = None, None, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([rows], pa.int64()), pa.array([pack_arrays(total)], pa.binary())], ["block", "part", "n", "counts"])
+
+        for batch in batches:
+            for block, part, k, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                own = unpack_arrays(blob.as_py())[0]
+                if key == (block, part):
+                    total, rows = total + own, rows + k
+                    continue
+                if key is not None:
+                    yield out()
+                key, total, rows = (block, part), own, k
+        if key is not None:
+            yield out()
+
+    schema = "block int, part int, n long, counts binary"
+    some = counts.select("block", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part"), "n", "counts")
+    for _ in range(2):
+        some = some.repartition(n, "block", "part").sortWithinPartitions("block", "part").mapInArrow(added, schema).withColumn("part", F.lit(0))
+    return some.drop("part")
+
+
 # ---------------------------------------------------------------- blobs
 _CODEC = pa.Codec("zstd", 3)
 
