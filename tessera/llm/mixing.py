@@ -14,8 +14,8 @@ hash of doc_id, so reruns and retried tasks agree.
 
 Defined results: null or blank text has size 0 and is never taken; a null source is a
 source of its own, ordered last; a null doc_id is hashed as an empty string; equal
-ranks are ordered by doc_id; repeated rows are documents of their own (exact
-repeats may be taken together); an empty table gives an empty result; other columns are ignored.
+ranks are ordered by doc_id, then size; rows equal in all of these are documents of their own, of which the cut takes as many as
+the target still wants, the first by their place in the input; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float
     and broadcasts it only while that is small."""
     targets = written(source_targets(sized, weights, share, cap), "mix-targets")
     fine = _ranked(sized, targets).where("q is not null")
-    spot = F.col("q") / (1 + F.col("q")) * CELLS
+    even = F.col("q") * F.col("part") / (1 - F.col("part"))  # the odds of u alone but for sizes, whatever the source's part
+    spot = even / (1 + even) * CELLS
     fine = fine.withColumn("c1", F.floor(spot)).withColumn("c2", F.floor((spot - F.floor(spot)) * CELLS))
     first = fine.groupBy("source", "c1", "rest").agg(F.sum("size").alias("words")).withColumn("base", F.lit(0))
     one = written(_crossing(first, [], "c1").select(F.col("source").alias("s1"), F.col("c1").alias("k1"), "base"), "mix-cells")
@@ -90,12 +91,17 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float
     second = in_one.groupBy("source", "c1", "c2", "rest", "base").agg(F.sum("size").alias("words"))
     two = _crossing(second, ["c1"], "c2").select(F.col("source").alias("s2"), F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("base").alias("base2"))
     in_two = in_one.join(two, in_one["source"].eqNullSafe(two["s2"]) & (in_one["c1"] == two["k1"]) & (in_one["c2"] == two["k2"]))
-    run = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_first(), "size")
-    upto = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    near = in_two.withColumn("middle", F.col("base2") + upto - F.col("size") / 2.0)
-    # The last document that the mix takes, or else a mark before the first.
-    cut = near.groupBy("source").agg(F.max(F.when(F.col("middle") <= F.col("rest"), _place())).alias("last"), F.min("q").alias("lowest"))
-    cut = cut.select(F.col("source").alias("s1"), F.lit(True).alias("has_cut"), "last", "lowest")
+    # Rows of one place count together, so many equal ones are one row here.
+    places = in_two.groupBy("source", _place().alias("p"), "rest", "base2").agg(F.count("*").alias("tied"))
+    size = F.col("p.size")
+    run = Window.partitionBy("source").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    near = places.withColumn("before", F.col("base2") + F.sum(F.col("tied") * size).over(run) - F.col("tied") * size)
+    # The n-th row of a place is taken if its middle does not pass what is lacking.
+    fits = F.floor((F.col("rest") - F.col("before")) / size + 0.5)
+    near = near.withColumn("allowed", F.greatest(F.lit(0), F.least(F.col("tied"), fits)))
+    # The last place that the mix takes from, and how many rows of it; or else a mark before the first.
+    cut = near.groupBy("source").agg(F.max(F.when(F.col("allowed") > 0, F.struct("p", "allowed", "tied"))).alias("top"), F.min("p.q").alias("lowest"))
+    cut = cut.select(F.col("source").alias("s1"), F.lit(True).alias("has_cut"), F.col("top.p").alias("last"), F.col("top.allowed").alias("allowed"), F.col("top.tied").alias("tied"), "lowest")
     return written(targets.join(cut, targets["source"].eqNullSafe(cut["s1"]), "left").drop("s1"), "mix-plan")
 
 
@@ -105,10 +111,23 @@ def _place() -> Column:
 
 
 def _copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    split = not plan.where("allowed < tied").isEmpty()
+    if split:  # equal rows at a cut are told apart by where they are read
+        sized = sized.withColumns({"m_task": F.spark_partition_id(), "m_row": F.monotonically_increasing_id()})
     ranked = _ranked(sized, plan)
+    at_cut = F.coalesce((F.col("allowed") < F.col("tied")) & F.col("q").isNotNull() & (_place() == F.col("last")), F.lit(False))
     # Without a crossing the whole order is taken, or none of it where nothing is lacking.
     extra = F.when(F.col("q").isNull(), False).when(F.col("has_cut").isNull(), F.col("rest") > 0).when(F.col("last").isNull(), F.col("q") < F.col("lowest")).otherwise(_place() <= F.col("last"))
-    return ranked.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0).cast("long")))
+    copies = lambda df, more: df.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long")))
+    if not split:
+        return copies(ranked, extra)
+    tied = ranked.where(at_cut)
+    shares = tied.groupBy("source", "m_task", "allowed").count()
+    before = Window.partitionBy("source").orderBy("m_task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    shares = written(shares.select(F.col("source").alias("s3"), F.col("m_task").alias("t3"), (F.col("allowed") - F.coalesce(F.sum("count").over(before), F.lit(0))).alias("left")), "mix-ties")
+    own = tied.join(shares, tied["source"].eqNullSafe(shares["s3"]) & (tied["m_task"] == shares["t3"]))
+    own = own.withColumn("n3", F.row_number().over(Window.partitionBy("source", "m_task").orderBy("m_row")))
+    return copies(ranked.where(~at_cut), extra).unionByName(copies(own, F.col("n3") <= F.col("left")).drop("s3", "t3", "left", "n3")).drop("m_task", "m_row")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
@@ -130,5 +149,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     sized = written(_sized(docs, "doc_id", "source", seed=seed), "mix-sizes")
     plan = _plan(sized, weights, share, cap)
     whole = F.struct(*[docs[c] for c in docs.columns])
-    carried = _sized(docs.select(whole.alias("m_row"), "doc_id", "source", "text"), "m_row", "doc_id", "source", seed=seed)
-    return _copies(carried, plan).select("m_row", F.explode(F.expr("if(copies > 0, sequence(1L, copies), array())")).alias("m_copy")).select("m_row.*")
+    carried = _sized(docs.select(whole.alias("m_whole"), "doc_id", "source", "text"), "m_whole", "doc_id", "source", seed=seed)
+    return _copies(carried, plan).select("m_whole", F.explode(F.expr("if(copies > 0, sequence(1L, copies), array())")).alias("m_copy")).select("m_whole.*")
