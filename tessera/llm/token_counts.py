@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import remembered
+from .shared import release, remembered
 
 #: White space as the vocabulary's pattern knows it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -142,6 +142,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     """(doc_id, n_bytes, n_tokens, over_limit) of every document; vocabulary: path of the file, on every executor."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep=_merger)
         m = _merger(vocabulary)
         for batch in batches:
             tokens, size = [], []
