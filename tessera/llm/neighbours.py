@@ -1,18 +1,18 @@
 """Operator 9: approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order.  Each block of rows keeps one inverted
-file per pivot, with the vectors that have it among their DEPTH nearest and its place there.  A query
-reads the files of its own DEPTH nearest pivots and adds up the footrule distance, the
-difference of places, a pivot beyond DEPTH standing at place DEPTH.  The vectors of the smallest
-footrule, the same SHARE of a block of any size, are reranked by exact Euclidean distance.  Their k-th
-distance bounds the search: of the other vectors all whose distance by inner products, less its rounding error,
-does not exceed it are reranked, too, so the k found are the k nearest.
+file per pivot: of every row the place that the pivot has among the row's DEPTH nearest, DEPTH itself beyond
+them, one byte each.  A query reads the files of its own READ nearest pivots and adds up the footrule
+distance, the differences of places.  The CANDIDATES times square root of the block's rows of the smallest
+footrule are reranked by exact Euclidean distance.  With ``exact`` their k-th distance then bounds the search: of the
+other vectors all whose distance by single-precision inner products, less its rounding error, does not exceed it
+are reranked, too, so the k found are the k nearest; those products are one matrix product per CHUNK of queries.
 
-Plan: rows of each vector length are dealt to blocks by a hash, each with its own pivots, from a bounded sample of
-the block, and inverted files; queries go to every block of their length in chunks; a block returns its
-best k per query, of which the best k remain.  No pairs of rows are made but those k.
+Plan: rows of each vector length are dealt to blocks by a hash, one block a task while tasks allow; queries go to every block of
+their length.  A task reads a block's rows first, chooses its pivots from a bounded sample of them and builds the files once, then
+streams the queries past them.  A block returns its best k per query, of which the best k remain.  No pairs of rows are made but those k.
 
-Cost: one inner product per query and row beside the footrule, so quadratic in rows.
+Cost: READ bytes per query and row, and with ``exact`` an inner product: quadratic in rows, as queries are a share of them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as query or
 candidate, nor do rows with a null vec_id; only vectors of equal length are neighbours; equal distances go to
@@ -23,17 +23,21 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embedding_dedup import usable
-from .shared import mix64, partitions, written
+from .shared import mix64, release, written
 
-PIVOTS, SAMPLE, DEPTH = 256, 4096, 192
-SHARE = 0.08
-BLOCKS, LEAST_BLOCK, MOST_BLOCK, CHUNK = 16, 4096, 65536, 4096
+PIVOTS, SAMPLE, DEPTH, READ = 256, 4096, 64, 32
+CANDIDATES = 16
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, CHUNK = 16, 4096, 65536, 64
+#: Tasks that search at most; beyond it a task takes several blocks, one after the other.
+MOST_TASKS = 1 << 16
 
 
 def pick_pivots(sample: np.ndarray, n: int = PIVOTS, apart: float = 1e-6) -> np.ndarray:
@@ -49,8 +53,10 @@ def pick_pivots(sample: np.ndarray, n: int = PIVOTS, apart: float = 1e-6) -> np.
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """For each row its nearest pivots in order."""
-    d = (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :depth]
+    squares, out = (pivots * pivots).sum(axis=1), np.empty((len(x), min(depth, len(pivots))), np.int16)
+    for a in range(0, len(x), 4096):
+        out[a : a + 4096] = np.argsort(squares - 2 * (x[a : a + 4096] @ pivots.T), axis=1, kind="stable")[:, :depth]
+    return out
 
 
 class PermutationIndex:
@@ -59,32 +65,47 @@ class PermutationIndex:
     def __init__(self, x: np.ndarray, ids: np.ndarray, pivots: np.ndarray):
         self.x, self.ids, self.pivots = x, ids, pivots
         self.squares = (x * x).sum(axis=1)
+        with np.errstate(over="ignore"):
+            self.single = x.astype(np.float32)
         self.depth = min(DEPTH, len(pivots))
-        order = nearest_pivots(x, pivots, self.depth)
-        flat = order.ravel()
-        by_pivot = np.argsort(flat, kind="stable")
-        self.rows, self.place = by_pivot // self.depth, (by_pivot % self.depth).astype(np.int32)
-        self.first = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
-
-    def search(self, query: np.ndarray, order: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.files = np.full((len(pivots), len(x)), self.depth, np.int8)
+        order, rows = nearest_pivots(x, pivots, self.depth), np.arange(len(x))
+        for place in range(self.depth):
+            self.files[order[:, place], rows] = place
+
+    def products(self, queries: np.ndarray) -> np.ndarray:
+        """Inner products of queries and rows in single precision."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return queries.astype(np.float32) @ self.single.T
+
+    def candidates(self, order: np.ndarray) -> np.ndarray:
+        """Whether a row's footrule is among the smallest; all rows of the last value that takes part do."""
+        foot, step = np.zeros(len(self.x), np.int16), np.empty(len(self.x), np.int8)
+        for place, p in enumerate(order[:READ]):
+            np.subtract(self.files[p], np.int8(place), out=step)
+            np.abs(step, out=step)
+            foot += step
+        upto = np.cumsum(np.bincount(foot))
+        n = min(len(foot), int(np.ceil(CANDIDATES * np.sqrt(len(foot)))))
+        return foot <= np.searchsorted(upto, n)
+
+    def search(self, query: np.ndarray, order: np.ndarray, own: int, k: int, products: np.ndarray | None = None, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, distances) of the k nearest rows but those of the query's own id."""
-        far = self.depth * (self.depth + 1) // 2  # as if the row had none of the query's pivots
-        foot = np.full(len(self.x), far, np.int32)
-        for place, p in enumerate(order):
-            a, b = self.first[p], self.first[p + 1]
-            foot[self.rows[a:b]] += np.abs(self.place[a:b] - place) - (self.depth - place)
-        n = int(np.ceil(SHARE * len(foot)))
-        near = foot <= np.partition(foot, n - 1)[n - 1]
-        near &= self.ids != own
+        others = self.ids != own
+        near = self.candidates(order) & others
         rows = np.flatnonzero(near)
         d = self.distances(rows, query)
         if len(rows) < k:
-            rest = ~near & (self.ids != own)
-        else:
+            rest = ~near & others
+        elif exact:
             own_square = query @ query
-            error = 4 * (len(query) + 4) * np.finfo(float).eps * (np.sqrt(self.squares) + np.sqrt(own_square)) ** 2
-            beyond = self.squares + own_square - 2 * (self.x @ query) - error > np.partition(d, k - 1)[k - 1] ** 2
-            rest = ~beyond & ~near & (self.ids != own)  # a sum that overflows is not beyond
+            with np.errstate(over="ignore", invalid="ignore"):
+                error = 4 * (len(query) + 8) * np.finfo(np.float32).eps * (np.sqrt(self.squares) + np.sqrt(own_square)) ** 2
+                got = self.products(query[None])[0] if products is None else products
+                beyond = self.squares + own_square - 2.0 * got - error > np.partition(d, k - 1)[k - 1] ** 2
+            rest = ~beyond & ~near & others  # a product that overflows is not beyond
+        else:
+            rest = np.zeros(len(self.x), bool)
         more = np.flatnonzero(rest)
         rows, d = np.concatenate([rows, more]), np.concatenate([d, self.distances(more, query)])
         best = np.lexsort((self.ids[rows], d))[:k]
@@ -92,37 +113,78 @@ class PermutationIndex:
 
     def distances(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Components are added one after the other, so a distance does not depend on the block's shape."""
-        return np.sqrt(np.cumsum((self.x[rows] - query) ** 2, axis=1)[:, -1])
-
-
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every`` its k nearest found."""
+        total = np.zeros(len(rows))
+        apart = np.ascontiguousarray((self.x[rows] - query).T)
+        apart *= apart
+        for c in apart:
+            total += c
+        return np.sqrt(total)
+
+
+def _searched(k: int, exact: bool):  # noqa: ANN202
+    """Of each block, whose rows come before its queries, the best k of every query."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        at: int | None = None
+        parts: list[pa.RecordBatch] = []
+        index: PermutationIndex | None = None
+        for batch in batches:
+            ids, blocks, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "block", "asks"))
+            border = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *border], [*border, len(ids)], strict=True) if len(ids) else ():
+                if blocks[a] != at:
+                    at, parts, index = blocks[a], [], None
+                part = batch.slice(a, b - a)
+                if not asks[a]:
+                    parts.append(part)
+                    continue
+                if index is None and parts:
+                    index, parts = _index(parts), []
+                if index is None:
+                    continue
+                x = _matrix(part.column("e"))
+                for q in range(0, len(x), CHUNK):
+                    own = x[q : q + CHUNK]
+                    orders = nearest_pivots(own, index.pivots, index.depth)
+                    products = index.products(own) if exact else [None] * len(own)
+                    got = [(i, *index.search(v, o, i, k, p, exact)) for v, o, i, p in zip(own, orders, ids[a + q : a + q + CHUNK], products, strict=True)]
+                    size = [len(rows) for _, rows, _ in got]
+                    yield pa.record_batch([pa.array(np.repeat([i for i, *_ in got], size), pa.int64()), pa.array(np.concatenate([index.ids[rows] for _, rows, _ in got]), pa.int64()), pa.array(np.concatenate([d for *_, d in got]), pa.float64())], ["query_id", "vec_id", "score"])
+
+    return found
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy().reshape(len(vectors), -1)
+
+
+def _index(parts: list[pa.RecordBatch]) -> PermutationIndex:
+    t = pa.Table.from_batches(parts).combine_chunks()
+    x, place = _matrix(t.column("e").combine_chunks()), t.column("place").to_numpy()
+    sample = np.argsort(mix64(place.view(np.uint64)), kind="stable")[:SAMPLE]
+    return PermutationIndex(x, t.column("vec_id").to_numpy(), pick_pivots(x[sample]))
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, exact: bool = True) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every`` its k nearest found.
+
+    exact: verify against the bound; without it the index alone answers.
+    """
     wide = F.transform("embedding", lambda x: x.cast("double"))
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", wide.alias("e"), F.size("embedding").alias("dim"))
     good = written(good.distinct().withColumn("asks", F.pmod("vec_id", F.lit(every)) == 0), "search-rows")
     sizes = good.groupBy(F.col("dim").alias("d")).agg(F.count("*").alias("total"), F.count_if("asks").alias("n_queries")).where("n_queries > 0")
     size = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("total") / BLOCKS)))
-    sizes = sizes.select("d", F.ceil(F.col("total") / size).alias("blocks"), F.ceil(F.col("n_queries") / CHUNK).alias("chunks"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("total") / size))
+    before = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)  # over the lengths that there are
+    sizes = written(sizes.select("d", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("first")), "search-blocks")
+    tasks = min(MOST_TASKS, sizes.agg(F.sum("blocks")).first()[0] or 1)
     placed = good.join(sizes, good["dim"] == sizes["d"]).withColumn("place", F.xxhash64("vec_id", "e", F.lit("block")))
-    columns = ["dim", "block", "chunk", "asks", "place", "vec_id", "e"]
-    rows = placed.withColumn("block", F.pmod("place", F.col("blocks"))).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
-    rows = rows.withColumn("asks", F.lit(False)).select(*columns)
-    asked = placed.where("asks").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("chunk", F.pmod("place", F.col("chunks"))).select(*columns)
-
-    def searched(t: pa.Table) -> pa.Table:
-        asks, ids = t.column("asks").to_numpy(), t.column("vec_id").to_numpy()
-        x = t.column("e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        got: list[tuple[np.ndarray, ...]] = []
-        queries, kept = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if len(queries) and len(kept):
-            sample = kept[np.argsort(mix64(t.column("place").to_numpy()[kept].view(np.uint64)), kind="stable")[:SAMPLE]]
-            index = PermutationIndex(x[kept], ids[kept], pick_pivots(x[sample]))
-            for q, order in zip(queries, nearest_pivots(x[queries], index.pivots, index.depth), strict=True):
-                rows, d = index.search(x[q], order, ids[q], k)
-                got.append((np.full(len(rows), ids[q]), index.ids[rows], d))
-        cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-    found = rows.unionByName(asked).repartition(partitions(vectors.sparkSession), *columns[:3]).groupBy(*columns[:3]).applyInArrow(searched, "query_id long, vec_id long, score double")
+    columns = ["block", "asks", "place", "vec_id", "e"]
+    rows = placed.withColumn("block", F.col("first") + F.pmod("place", F.col("blocks"))).withColumn("asks", F.lit(False)).select(*columns)
+    asked = placed.where("asks").withColumn("block", F.explode(F.expr("sequence(first, first + blocks - 1)"))).select(*columns)
+    dealt = rows.unionByName(asked).repartitionById(tasks, F.col("block").cast("int")).sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(_searched(k, exact), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
