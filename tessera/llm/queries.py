@@ -124,6 +124,19 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 """
 
 
+#: Windows as strings, which joining by a space spells without doubt, and words by place.
+OP4_SQL = r"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+windows AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM split, unnest(range(1, len(ws) - 11)) t(i) WHERE len(ws) >= 13 AND doc_id IS NOT NULL),
+least_id AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT r, x FROM windows JOIN least_id USING (k), unnest(range(i, i + 13)) u(x) WHERE doc_id > low),
+words AS (SELECT r, x, ws[x] AS w FROM split, unnest(range(1, len(ws) + 1)) v(x)),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY x) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, x) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+
 OP8_SQL = """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -156,4 +169,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op8_embedding_dedup": OP8_SQL, "op9_neighbours": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_neighbours": OP9_SQL}

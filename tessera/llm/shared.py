@@ -60,6 +60,7 @@ def partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- words as numbers
 _rng = np.random.default_rng(20240229)
 _BYTE = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) << U64(1)) | U64(1)
+_OTHER_BYTE = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) << U64(1)) | U64(1)
 _STEP = U64(0x9E3779B97F4A7C15)
 _STEP_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -135,13 +136,13 @@ def word_spans(data: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None)
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of a polynomial over random byte values."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte span, from prefix sums of a polynomial over random byte values; second: one independent of the first."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_OTHER_BYTE if second else _BYTE)[data] * up[: len(data)], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -161,24 +162,20 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``edges`` (a, b).
 
-    Alternating large-star and small-star steps.  A node has smaller neighbours only as the larger end u of a link,
-    so the least neighbour of each such node is a grouped minimum, and a root, to which a whole
+    Alternating large-star and small-star steps, until every node points to a root and to nothing else.  A node has smaller
+    neighbours only as the larger end u of a link, so the least neighbour of each such node is a grouped minimum, and a root, to which a whole
     component may point, is never grouped by: it meets those minima in a join of two written tables, whose
-    hot key adaptive execution splits.  Nothing is gathered on the driver but one row of sums a round.
+    hot key adaptive execution splits.  Nothing is gathered on the driver.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
-    state = None
     while True:
-        least = written(e.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), what)
-        large = e.join(least, e["v"] == least["x"], "left").select("u", F.coalesce("m", "v").alias("v"))
-        large = written(large, what)
+        least = written(e.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count("*").alias("n")), what)
+        large = written(e.join(least, e["v"] == least["x"], "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")), what)
+        if large.where("moved").isEmpty() and least.where("n > 1").isEmpty():
+            break
         down = written(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), what)
         small = large.join(down, large["u"] == down["x"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(down.select(F.col("x").alias("u"), F.col("m").alias("v")).unionAll(small).distinct(), what)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
@@ -255,10 +252,12 @@ def unpack_rows(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
 
-def runs_of(sorted_keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal entries."""
-    if not len(sorted_keys):
+def runs_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of entries equal in all keys."""
+    if not len(sorted_keys[0]):
         return np.zeros(0, np.int64)
-    new = np.ones(len(sorted_keys), bool)
-    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = False
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
     return np.flatnonzero(new)

@@ -8,15 +8,16 @@ input.
 their documents, one of the first seven offsets lies at a cover position in both.  So
 only runs of seven words at cover positions, three sevenths of all, are hashed as anchors and compared
 across documents.  Around each anchor that another document shares, the match is
-extended: the windows that hold it are hashed whole and the smallest document of
-each is found.
+extended: the windows that hold it are hashed whole, by a hash of 64 bits and another of 32, independent from the words
+on, and the smallest document of each window is found.  Words are not compared: two different windows
+are taken for one with probability 2^-96.
 
 Plan: five stages of one job.  Anchors go to buckets by hash as compressed arrays, what is shared comes back to the
 documents, candidate windows go to buckets, what is to be removed comes back, words are cut.  Each task
 settles repeats among its own rows first and sends one entry per hash, so a passage that
 a third of all documents hold costs a bucket one entry per task.  Texts travel compressed and
-grouped.  Buckets and groups are as many as spark.sql.shuffle.partitions, which is to
-grow with the input.  Nothing is collected or broadcast.
+grouped.  Groups of documents are as many as spark.sql.shuffle.partitions, which is to
+grow with the input, and buckets SPLIT times as many; a task reads its buckets one after the other and holds one.  Nothing is collected or broadcast.
 
 Defined results: a null text has no words; a row with a null doc_id has no order among
 the others, keeps all its words and removes none; rows of equal doc_id do not remove each other's
@@ -33,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import STEP_BYTES, U64, mix64, pack_arrays, pack_rows, partitions, release, runs_of, span_hashes, steps, text_buffers, unpack_arrays, unpack_rows, window_hashes, word_spans
 
@@ -41,6 +43,8 @@ PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task gathers before it settles repeats and sends them on.
 GATHER = 1 << 19
+#: Buckets to a task.
+SPLIT = 2
 ROWS_BYTES = 4 << 20
 
 _IN_COVER = np.zeros(PERIOD, bool)
@@ -95,35 +99,35 @@ def _to_groups(docs: Documents, doc: np.ndarray, pos: np.ndarray, n: int) -> Ite
 class Sender:
     """Gathers (hash, document, place) of one task, settles what its own rows decide and sends the rest to buckets."""
 
-    def __init__(self, n: int, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], narrow: bool):
+    def __init__(self, n: int, judge: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], narrow: bool):
         self.n, self.judge, self.narrow = n, judge, narrow
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = self.docs = 0
         self.ids: list[np.ndarray] = []
         self.tags: list[np.ndarray] = []
 
-    def add(self, ids: np.ndarray, tags: np.ndarray, h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, pos: np.ndarray, *keys: np.ndarray) -> None:
         self.ids.append(ids)
         self.tags.append(tags)
-        self.parts.append((h, doc + self.docs, pos))
+        self.parts.append((doc + self.docs, pos, *keys))
         self.docs += len(ids)
-        self.size += len(h)
+        self.size += len(doc)
 
     def sent(self) -> Iterator[tuple[int, bool, bytes]]:
         if not self.size:
             self.parts, self.ids, self.tags, self.docs = [], [], [], 0
             return
-        h, doc, pos = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        doc, pos, *keys = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         docs = Documents(np.concatenate(self.ids), np.concatenate(self.tags))
         self.parts, self.ids, self.tags, self.size, self.docs = [], [], [], 0, 0
-        order = np.lexsort((docs.ids[doc], h))
-        h, doc, pos = h[order], doc[order], pos[order]
-        settled, ask = self.judge(h, docs.ids[doc], runs_of(h))
+        order = np.lexsort((docs.ids[doc], *reversed(keys)))
+        doc, pos, keys = doc[order], pos[order], [k[order] for k in keys]
+        settled, ask = self.judge(docs.ids[doc], runs_of(*keys))
         for g, blob in _to_groups(docs, doc[settled], pos[settled], self.n):
             yield g, True, blob
-        for k, i in split_by(((h[ask] >> U64(32)) % U64(self.n)).astype(np.int64)):
+        for k, i in split_by(((keys[0][ask] >> U64(32)) % U64(SPLIT * self.n)).astype(np.int64)):
             own = ask[i]
-            yield k, False, _packed_entries(docs, doc[own], pos[own], h[own].astype(np.uint32) if self.narrow else h[own], np.isin(own, settled, assume_unique=True).astype(np.uint8))
+            yield k, False, _packed_entries(docs, doc[own], pos[own], *(x[own].astype(np.uint32) if self.narrow else x[own] for x in keys), np.isin(own, settled, assume_unique=True).astype(np.uint8))
 
 
 def record_batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
@@ -143,11 +147,11 @@ def record_batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatc
     release()
 
 
-def _share(h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _share(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchors: entries known here to be shared by documents, and the entries to ask about, one per hash."""
     if not len(at):
         return at, at
-    size = np.diff(np.append(at, len(h)))
+    size = np.diff(np.append(at, len(ids)))
     shared = np.repeat(ids[at] != ids[at + size - 1], size)
     # A document that repeats an anchor asks for each place; where several share it, the first entry tells the others.
     ask = ~shared
@@ -155,16 +159,17 @@ def _share(h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(shared), np.flatnonzero(ask)
 
 
-def _later(h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _later(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows: entries known here to start in a smaller document, too, and the smallest document's entries."""
     if not len(at):
         return at, at
-    later = ids > np.repeat(ids[at], np.diff(np.append(at, len(h))))
+    later = ids > np.repeat(ids[at], np.diff(np.append(at, len(ids))))
     return np.flatnonzero(later), np.flatnonzero(~later)
 
 
 def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, bytes]]:
+        release()
         out = Sender(n, _share, narrow=True)
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
@@ -178,7 +183,7 @@ def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 at = np.flatnonzero(_IN_COVER[pos % PERIOD] & (left >= ANCHOR))
                 if len(at):
                     h = window_hashes(span_hashes(d, starts, ends), ANCHOR)[at]
-                    out.add(ids[a:b], _checksums(d, o), h, doc[at], pos[at])
+                    out.add(ids[a:b], _checksums(d, o), doc[at], pos[at], h)
                 if out.size >= GATHER:
                     yield from out.sent()
         yield from out.sent()
@@ -186,46 +191,76 @@ def _anchors(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return lambda batches: record_batches(entries(batches), SENT)
 
 
-def _settle(n: int, anchors: bool) -> Callable[[pa.Table], pa.Table]:
-    """In a bucket: which entries to answer.  Anchors: those whose hash several documents have; windows: those of a document above the smallest."""
+def _settle(n: int, anchors: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Which entries of each bucket to answer.  Anchors: those whose hash several documents have; windows: those of a document above the smallest."""
 
-    def bucket(t: pa.Table) -> pa.Table:
-        done = t.column("settled").to_pylist()
-        out = [(g, 0, b.as_py()) for g, b, s in zip(t.column("k").to_pylist(), t.column("blob"), done, strict=True) if s]
+    def bucket(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts, ids, tags, base = [], [], [], 0
-        for b, s in zip(t.column("blob"), done, strict=True):
-            if not s:
-                i, g, count, pos, h, known = unpack_arrays(b.as_py())
-                parts.append((np.repeat(np.arange(base, base + len(i)), count), pos, h, known))
-                ids.append(i)
-                tags.append(g)
-                base += len(i)
-        if parts:
-            doc, pos, h, known = (np.concatenate(c) for c in zip(*parts, strict=True))
-            docs = Documents(np.concatenate(ids), np.concatenate(tags))
-            order = np.argsort(h, kind="stable")
-            own, at = docs.ids[doc[order]], runs_of(h[order])
-            size = np.diff(np.append(at, len(h)))
-            low = np.minimum.reduceat(own, at)
-            if anchors:
-                told = np.bitwise_or.reduceat(known[order], at) > 0
-                hit = np.repeat(told | (low < np.maximum.reduceat(own, at)), size) & (known[order] == 0)
-            else:
-                hit = own > np.repeat(low, size)
-            hit = order[hit]
-            out += [(g, 0, b) for g, b in _to_groups(docs, doc[hit], pos[hit], n)]
-        g, kind, blob = zip(*out, strict=True) if out else ((), (), ())
-        parts = ids = tags = []
+        for b in blobs:
+            i, g, count, *rest = unpack_arrays(b)
+            parts.append((np.repeat(np.arange(base, base + len(i), dtype=np.int32), count), *rest))
+            ids.append(i)
+            tags.append(g)
+            base += len(i)
+        doc, pos, *keys, known = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts = []
+        docs = Documents(np.concatenate(ids), np.concatenate(tags))
+        order = np.lexsort(keys[::-1])
+        own, at = docs.ids[doc[order]], runs_of(*(k[order] for k in keys))
+        size = np.diff(np.append(at, len(doc)))
+        low = np.minimum.reduceat(own, at)
+        if anchors:
+            told = np.bitwise_or.reduceat(known[order], at) > 0
+            hit = np.repeat(told | (low < np.maximum.reduceat(own, at)), size) & (known[order] == 0)
+        else:
+            hit = own > np.repeat(low, size)
+        hit = order[hit]
+        return docs.ids[doc[hit]], docs.tags[doc[hit]], pos[hit]
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         release()
-        return pa.table({"g": pa.array(g, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at, held, size = None, [], 0
+
+        def answers() -> Iterator[tuple[int, int, bytes]]:
+            """What the task's buckets have found so far: one blob to a group."""
+            nonlocal out, size
+            ids, tags, pos = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+            out, size = [], 0
+            order = np.lexsort((tags, ids))
+            ids, tags, pos = ids[order], tags[order], pos[order]
+            first = runs_of(ids, tags)
+            doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+            for g, b in _to_groups(Documents(ids[first], tags[first]), doc, pos, n):
+                yield g, 0, b
+
+        for batch in batches:
+            for k, done, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if done:
+                    i, g, count, pos = unpack_arrays(blob.as_py())
+                    out.append((np.repeat(i, count), np.repeat(g, count), pos))
+                    size += len(pos)
+                else:
+                    if k != at and held:
+                        out.append(bucket(held))
+                        size += len(out[-1][0])
+                        held = []
+                    at = k
+                    held.append(blob.as_py())
+                if size >= GATHER:
+                    yield from answers()
+        if held:
+            out.append(bucket(held))
+        yield from answers()
 
-    return bucket
+    return lambda batches: record_batches(entries(batches), GROUPED)
 
 
 def grouped_rows(n: int, tagged: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (doc_id, text, ...) by group, compressed; tagged: rows of one doc_id may go to several groups by their text."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        release()
         held: list[pa.RecordBatch] = []
         size = 0
 
@@ -300,6 +335,7 @@ def _windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     """Around each shared anchor the windows that hold it."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, bytes]]:
+        release()
         out = Sender(n, _later, narrow=False)
         for marks, rows in by_group(batches):
             rows = rows.filter(rows.column(0).is_valid())
@@ -326,10 +362,10 @@ def _windows(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     np.add.at(near, first[i - a] + high[ok], -1)
                 at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
                 if len(at):
-                    h = window_hashes(span_hashes(d, starts, ends), WINDOW)[at]
+                    h, more = (window_hashes(span_hashes(d, starts, ends, second), WINDOW)[at] for second in (False, True))
                     doc, pos = _within(first, len(starts))
                     own = np.array(some[a:b])
-                    out.add(ids[own], tags[own], h, doc[at], pos[at])
+                    out.add(ids[own], tags[own], doc[at], pos[at], h, (more >> U64(32)).astype(np.uint32))
                 if out.size >= GATHER:
                     yield from out.sent()
         yield from out.sent()
@@ -358,10 +394,15 @@ def _answered(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select("doc_id", "text")
-    shared = texts.mapInArrow(_anchors(n), SENT).groupBy("k").applyInArrow(_settle(n, True), GROUPED)
+    shared = dealt(texts.mapInArrow(_anchors(n), SENT), n, "k").mapInArrow(_settle(n, True), GROUPED)
     grouped = texts.mapInArrow(grouped_rows(n), GROUPED).unionAll(shared)
-    windows = grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(_windows(n), SENT)
-    return windows.groupBy("k").applyInArrow(_settle(n, False), GROUPED), n
+    windows = dealt(grouped, n, "g", "kind").mapInArrow(_windows(n), SENT)
+    return dealt(windows, n, "k").mapInArrow(_settle(n, False), GROUPED), n
+
+
+def dealt(df: DataFrame, n: int, number: str, *then: str) -> DataFrame:
+    """Rows of a number together and in order, numbers evenly over n tasks."""
+    return df.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(number, *then)
 
 
 def substring_duplicates(docs: DataFrame) -> DataFrame:
@@ -380,7 +421,7 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     grouped = docs.select("doc_id", "text").mapInArrow(grouped_rows(n), GROUPED).unionAll(answers)
-    return grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return dealt(grouped, n, "g", "kind").mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -397,4 +438,4 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
     whole = docs.select("doc_id", "text", *rest)
     grouped = whole.mapInArrow(grouped_rows(n), GROUPED).unionAll(answers)
-    return grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(cut_rows, whole.schema).select(*docs.columns)
+    return dealt(grouped, n, "g", "kind").mapInArrow(cut_rows, whole.schema).select(*docs.columns)
