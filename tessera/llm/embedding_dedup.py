@@ -6,8 +6,11 @@ factor.  Against a vector with four-bit rotated components, sums of bits estimat
 product without bias, and the factor bounds the error.  Only pairs whose upper confidence
 bound reaches the threshold are recomputed exactly, in double precision.
 
-Plan: pairs are compared within a label only, in tiles of two blocks of rows; a hot label has more tiles,
-not larger ones.  A tile returns counts of links by vector and a spanning forest of its
+Plan: every vector is coded once, into a written table of its code, its correction factor, the four bit planes of its rotated
+components with their offset and step, and its norm.  Pairs are compared within a label only, in tiles of two blocks of rows; a
+hot label has more tiles, not larger ones.  A tile compares stored codes with stored planes; the vectors that it carries in
+the input's own type serve the exact recomputation alone (pairs in doubt within a group of copies are too
+many to be rows of their own).  A tile returns counts of links by vector and a spanning forest of its
 links, never pairs, so a group of n copies costs n rows.  Components come from the forests.
 The number of code comparisons is quadratic in a label's rows: 64 dimensions are one machine word each.
 
@@ -20,13 +23,16 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import components, written
+from .shared import U64, components, mix64, release, written
 
 #: Half-width of the confidence bounds in standard deviations.
 SIGMAS = 6.0
@@ -57,46 +63,69 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed, np.abs(rotated).sum(axis=1) / np.sqrt(unit.shape[1]), rotated
 
 
-def estimates(packed: np.ndarray, factor: np.ndarray, rotated: np.ndarray, cos: float, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of the inner products, coded vectors x given ones, and the half-widths of their bounds.
-
-    The bounds hold for pairs of at least the inner product ``cos``.
-    """
-    dim, pad = rotated.shape[1], packed.shape[1] * 64 - rotated.shape[1]
+def quantised(rotated: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bit planes of the four-bit components, offset, step, sum of the components) of rotated vectors; noise in [0, 1) rounds without bias."""
+    pad = -rotated.shape[1] % 64
     low = rotated.min(axis=1, keepdims=True)
     step = np.maximum((rotated.max(axis=1, keepdims=True) - low) / 15, 1e-30)
-    noise = np.random.default_rng(seed).random(rotated.shape)
     q = np.clip(np.floor((rotated - low) / step + noise), 0, 15).astype(np.uint8)
-    sums = np.zeros((len(packed), len(q)), np.int32)
+    planes = np.stack([np.packbits(np.pad((q >> bit & 1).astype(bool), ((0, 0), (0, pad))), axis=1).view(np.uint64) for bit in range(4)], axis=1)
+    return planes, low[:, 0], step[:, 0], q.sum(axis=1, dtype=np.int64)
+
+
+def compared(packed: np.ndarray, factor: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, total: np.ndarray, dim: int, cos: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of the inner products, coded vectors x quantised ones, and the half-widths of their bounds.
+
+    The bounds hold for pairs of at least the inner product ``cos``.
+    """
+    sums = np.zeros((len(packed), len(planes)), np.int32)
     for bit in range(4):
-        plane = np.packbits(np.pad((q >> bit & 1).astype(bool), ((0, 0), (0, pad))), axis=1).view(np.uint64)
         for w in range(packed.shape[1]):
-            sums += np.bitwise_count(packed[:, w, None] & plane[None, :, w]).astype(np.int32) << bit
+            sums += np.bitwise_count(packed[:, w, None] & planes[None, :, bit, w]).astype(np.int32) << bit
     ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
-    step, low = step[:, 0], low[:, 0]
-    inner = (2 * step * sums + 2 * low * ones[:, None] - step * q.sum(axis=1, dtype=np.int64) - dim * low) / np.sqrt(dim)
+    inner = (2 * step * sums + 2 * low * ones[:, None] - step * total - dim * low) / np.sqrt(dim)
     f = factor[:, None]
     spread = np.sqrt(max(0.0, 1 - cos * cos)) * np.sqrt(np.maximum(0, 1 - f * f) / (max(dim - 1, 1) * f * f)) + step / 2 / f
     return inner / f, SIGMAS * spread
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, cos: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def estimates(packed: np.ndarray, factor: np.ndarray, rotated: np.ndarray, cos: float, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
+    """The same against rotated vectors, quantised here."""
+    return compared(packed, factor, *quantised(rotated, np.random.default_rng(seed).random(rotated.shape)), rotated.shape[1], cos)
+
+
+@dataclass
+class Coded:
+    """Rows of one length with what is stored of them."""
+
+    x: np.ndarray
+    norm: np.ndarray
+    packed: np.ndarray
+    factor: np.ndarray
+    planes: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+    total: np.ndarray
+
+    def __getitem__(self, rows: np.ndarray | slice) -> Coded:
+        return Coded(*(getattr(self, f.name)[rows] for f in fields(self)))
+
+
+def tile_links(a: Coded, b: Coded, cos: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of the pairs with cosine >= cos, found through codes and recomputed exactly; i < j where a is b."""
-    na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-    packed, factor, _ = codes(a / na[:, None])
-    _, _, rotated = codes(b / nb[:, None])
     found_i, found_j = [], []
-    for s in range(0, len(b), STRIP):
-        est, half = estimates(packed, factor, rotated[s : s + STRIP], cos)
+    for s in range(0, len(b.x), STRIP):
+        strip = b[s : s + STRIP]
+        est, half = compared(a.packed, a.factor, strip.planes, strip.low, strip.step, strip.total, a.x.shape[1], cos)
         near = est + half >= cos
         if same:
-            near &= np.arange(len(a))[:, None] < np.arange(s, min(s + STRIP, len(b)))
+            near &= np.arange(len(a.x))[:, None] < np.arange(s, s + len(strip.x))
         i, j = np.nonzero(near)
         for k in range(0, len(i), 1 << 16):
-            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)] + s
-            exact = (a[p] * b[q]).sum(axis=1) / (na[p] * nb[q])
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            exact = (a.x[p] * strip.x[q]).sum(axis=1) / (a.norm[p] * strip.norm[q])
             found_i.append(p[exact >= cos])
-            found_j.append(q[exact >= cos])
+            found_j.append(q[exact >= cos] + s)
     z = np.zeros(0, np.int64)
     return np.concatenate(found_i or [z]), np.concatenate(found_j or [z])
 
@@ -118,31 +147,66 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+STORED = "norm double, factor double, low double, step double, total long, code binary, planes binary"
+
+
+def _stored(columns: list[str]):  # noqa: ANN202
+    """Rows with their codes; columns hold vec_id, row_key, dim and the vector e."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for d in np.unique(dims):
+                own = batch.filter(pa.array(dims == d))
+                x, keys = _vectors(own.column("e")), own.column("row_key").to_numpy().view(np.uint64)
+                norm = np.sqrt((x * x).sum(axis=1))
+                packed, factor, rotated = codes(x / norm[:, None])
+                noise = mix64(keys[:, None] + np.arange(1, d + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) / 2.0**64
+                planes, low, step, total = quantised(rotated, np.minimum(noise, 1 - 1e-12))
+                numbers = [pa.array(v, pa.float64()) for v in (norm, factor, low, step)]
+                blobs = [pa.array([v.tobytes() for v in m], pa.binary()) for m in (packed, planes)]
+                yield pa.record_batch([*own.columns, *numbers, pa.array(total, pa.int64()), *blobs], [*columns, *(c.split()[0] for c in STORED.split(", "))])
+
+    return coded
+
+
+def _vectors(e: pa.Array) -> np.ndarray:
+    """List entries as rows of doubles."""
+    return e.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(e), -1)
+
+
+def _words(blobs: pa.ChunkedArray, *shape: int) -> np.ndarray:
+    return np.frombuffer(b"".join(b.as_py() for b in blobs), np.uint64).reshape(len(blobs), *shape, -1)
+
+
 def embedding_duplicates(vectors: DataFrame, cos: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     base = vectors.select("vec_id", "label", F.col("embedding").alias("e"), F.xxhash64("vec_id", "label", "embedding").alias("row_key"))
     good = base.where(usable("e") & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).dropDuplicates(["vec_id", "row_key"])
-    good = written(good.select("vec_id", "row_key", "label", F.transform("e", lambda x: x.cast("double")).alias("e"), F.size("e").alias("dim")), "vectors")
+    own_type = good.schema["e"].dataType.elementType.simpleString()
+    e = F.col("e") if own_type in ("float", "double") else F.transform("e", lambda x: x.cast("double"))
+    good = good.select("vec_id", "row_key", "label", e.alias("e"), F.size("e").alias("dim"))
+    schema = StructType(good.schema.fields + StructType.fromDDL(STORED).fields)
+    good = written(good.mapInArrow(_stored(good.columns), schema), "vectors")
     sizes = good.groupBy("label", "dim").count().select(F.col("label").alias("l"), F.col("dim").alias("d"), "count")
     block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("count") / BLOCKS)))
     placed = good.join(sizes, (good["label"] == sizes["l"]) & (good["dim"] == sizes["d"])).withColumn("blocks", F.ceil(F.col("count") / block))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("vec_id", "row_key"), F.col("blocks")))
     other = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    tiles = placed.select("vec_id", "row_key", "label", "dim", "e", "own", other.alias("other"))
-    tiles = tiles.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "row_key", "e")
+    tiles = placed.select("label", "own", "vec_id", "row_key", "e", "dim", *(c.split()[0] for c in STORED.split(", ")), other.alias("other"))
+    tiles = tiles.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
     def linked(t: pa.Table) -> pa.Table:
         own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
         ids, keys = t.column("vec_id").to_numpy(), t.column("row_key").to_numpy()
-        x = t.column("e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        number = {c: t.column(c).to_numpy() for c in ("norm", "factor", "low", "step", "total")}
+        every = Coded(_vectors(t.column("e").combine_chunks()), packed=_words(t.column("code")), planes=_words(t.column("planes"), 4), **number)
         p, q = np.flatnonzero(own == i), np.flatnonzero(own == j)
         if i[0] == j[0]:
-            order = np.lexsort((keys, ids))
-            a, b = tile_links(x[order], x[order], cos, True)
-            a, b = order[a], order[b]
-        else:
-            a, b = tile_links(x[p], x[q], cos, False)
-            a, b = p[a], q[b]
+            p = q = np.lexsort((keys, ids))
+        a, b = tile_links(every[p], every[q], cos, i[0] == j[0])
+        a, b = p[a], q[b]
         apart = ids[a] != ids[b]
         a, b = a[apart], b[apart]
         count = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
