@@ -6,13 +6,13 @@ over all documents that may be learned from.  The weights are trained with
 follow-the-regularised-leader under elastic-net penalties on a bounded sample (``each`` rows of every
 language), and a temperature fitted on a fifth of it that was left out calibrates the scores.
 
-Plan: one scan counts document frequencies (a block of cells per task, summed by block), one collects
+Plan: one scan counts document frequencies (blocks of cells per task, added up as they come), one collects
 the sample's features, one predicts.  The model, CELLS x languages numbers, is all that is
 broadcast.  No text is shuffled.
 
 Defined results: a null text and one without letters are ``und`` with score 0; so is every text where
 nothing can be learned; a row with a null doc_id is not learned from and not held out; equal scores go to
-the language first in code-point order; repeated rows count as often as they occur; an
+the language first in code-point order; repeated rows count as often as they occur in the frequencies, once in the sample; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import bounded_sample, remainder
-from .shared import STEP_BYTES
+from .shared import STEP_BYTES, pack_arrays, release, summed_blocks, unpack_arrays
 
 CELLS = 1 << 16
 BLOCK = 1 << 12
@@ -157,6 +157,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents with each cell, and documents, over all of ``docs`` (text)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, n = np.zeros(CELLS, np.int64), 0
         for batch in batches:
             for part in text_steps(batch.column(0)):
@@ -166,18 +167,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                     seen[cells[:, a:b]] = True
                     total += seen
                 n += len(part)
-        blocks = range(CELLS // BLOCK)
-        yield pa.record_batch([pa.array(blocks, pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array([total[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "n", "counts"])
+        for b in range(CELLS // BLOCK if n else 0):
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([pack_arrays(total[b * BLOCK : (b + 1) * BLOCK])], pa.binary())], ["block", "n", "counts"])
 
-    def summed(t: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
-        return pa.table({"block": t.column("block")[:1], "n": [sum(t.column("n").to_pylist())], "counts": pa.array([counts.tobytes()], pa.binary())})
-
-    schema = "block int, n long, counts binary"
-    got = docs.select("text").mapInArrow(counted, schema).groupBy("block").applyInArrow(summed, schema).collect()
     df, n = np.zeros(CELLS, np.int64), 0
-    for r in got:
-        df[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(bytes(r.counts), np.int64)
+    for r in summed_blocks(docs.select("text").mapInArrow(counted, "block int, n long, counts binary")).collect():
+        df[r.block * BLOCK : (r.block + 1) * BLOCK] = unpack_arrays(bytes(r.counts))[0]
         n = r.n
     return df, n
 
@@ -217,6 +212,7 @@ def identify(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
     n = len(keep)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names, scores = [], []
             for part in text_steps(batch.column(n)):

@@ -15,9 +15,10 @@ def remainder(column: str, divisor: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, each: int, key: str = "doc_id") -> DataFrame:
-    """About ``each`` rows of every label (all, where there are fewer), by a hash of the key.
+    """About ``each`` different rows of every label (all, where there are fewer), by a hash of the key and the row.
 
-    The shares come from counts over all rows; the counts are one row per label.
+    The shares come from counts over all rows; the counts are one row per label.  Rows equal in all columns are one.  The number drawn
+    is binomial, so it exceeds ``each`` by a few roots of it at most; which rows are drawn depends on nothing but themselves.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
@@ -26,4 +27,5 @@ def bounded_sample(rows: DataFrame, label: str, each: int, key: str = "doc_id")
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         cut = F.lit(min(GRAIN, -(-GRAIN * each // max(n, 1))))
         share = F.when(F.col(label) == value, cut) if share is None else share.when(F.col(label) == value, cut)
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(GRAIN)) < share).limit(2 * each * len(counts))
+    drawn = rows.withColumn("_drawn", F.xxhash64(*rows.columns)).where(F.pmod(F.xxhash64(key, "_drawn", F.lit("sample")), F.lit(GRAIN)) < share)
+    return drawn.dropDuplicates([label, "_drawn"]).drop("_drawn")

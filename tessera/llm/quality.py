@@ -11,7 +11,7 @@ whose encodings are gathered to train on; one map over the scan scores every who
 shuffle.  A training label never reaches a prediction but through the weights.
 
 Defined results: a null, empty or blank text is one passage of zeros; a row with a null doc_id or
-label is not learned from (a null doc_id is not held out); of repeated labels of an id the largest
+label, or a label other than 0 and 1, is not learned from (a null doc_id is not held out); of repeated labels of an id the largest
 counts; repeated documents are scored each; with fewer than two labels to learn
 from, every score is the share of label 1 (one half without any); an
 empty table gives an empty result; other columns are ignored.
@@ -188,17 +188,23 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int =
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, each: int = 2000) -> AttentionModel | float:
-    """A model from ``labels`` (doc_id, label in 0, 1); the share of label 1 where there is only one label or none."""
-    named = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+def learn(docs: DataFrame, labels: DataFrame, each: int = 2000, most: int = 256) -> AttentionModel | float:
+    """A model from ``labels`` (doc_id, label in 0, 1); the share of label 1 where there is only one label or none.
+
+    each: documents of either label to learn from; most: passages that one of them may bring, spread evenly over
+    the whole text, so what reaches the driver is bounded.  Scores are of all passages.
+    """
+    named = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     counts = {r.label: r["count"] for r in named.groupBy("label").count().collect()}
     sample = bounded_sample(named, "label", each).withColumnRenamed("doc_id", "label_id")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             for i, y in enumerate(batch.column(0).to_pylist()):
                 x, _ = encode(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+                x = x[np.arange(min(len(x), most)) * len(x) // min(len(x), most)]
                 yield pa.record_batch([pa.array([y], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["label", "x"])
 
     rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["label_id"]).select("label", "text").mapInArrow(encoded, "label int, x binary").collect()

@@ -3,8 +3,8 @@
 Features are sparse: hashed words (lower case, cut at white space and ASCII marks) and their first
 three, four and five bytes, each with log(1 + its count).  One weight vector is shared by all ordered thresholds:
 P(grade > k) = sigmoid(w x - theta_k), trained with an L1 penalty by accelerated proximal gradients on a
-bounded sample.  A fifth of the sample is left out to set the thresholds anew.  The output is the expected
-severity, the sum of these probabilities.
+bounded sample.  A fifth of the sample is left out, on which one scale of the weights and the thresholds are fitted by
+likelihood.  The output is the expected severity, the sum of these probabilities, as where either side of a threshold is as frequent.
 
 Labels that only say toxic or not are graded first: among the sample's toxic documents
 those whose share of telling words (seen almost only in toxic ones) is at or above the median are
@@ -14,7 +14,7 @@ Plan: a bounded sample of labelled ids is broadcast to find its documents, whose
 are gathered; one map over the scan scores every whole text, with no shuffle.
 
 Defined results: a null text or one without words scores as empty; a row with a null doc_id or label is not
-learned from (a null doc_id is not held out); of repeated labels of an id the largest counts;
+learned from (a null doc_id is not held out), nor is one with a negative label; of repeated labels of an id the largest counts;
 repeated documents are scored each; without both labels to learn from nothing is toxic; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import bounded_sample, remainder
-from .shared import STEP_BYTES, U64, mix64, span_hashes, steps, text_buffers, word_spans
+from .shared import STEP_BYTES, U64, mix64, release, span_hashes, steps, text_buffers, word_spans
 
 CELLS = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -117,23 +117,37 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds:
     return OrdinalModel(weights, theta)
 
 
-def best_cut(z: np.ndarray, above: np.ndarray) -> float:
-    """Where a threshold between z of the lower and the upper rows makes the fewest errors, both kinds weighing the same: the middle of that stretch."""
-    order = np.argsort(z, kind="stable")
-    z, above = z[order], above[order]
-    low, high = np.cumsum(~above) / max(1, (~above).sum()), np.cumsum(above) / max(1, above.sum())
-    right = np.concatenate([[0.0], low - high])  # by how many of the ordered rows lie below the cut
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    k = best[len(best) // 2]
-    edge = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    return float((edge[k] + edge[k + 1]) / 2)
+def _middle(z: np.ndarray, above: np.ndarray, weight: np.ndarray) -> float:
+    """The threshold of the greatest likelihood for scores z of rows above it and not, by bisection: its slope only rises."""
+    low, high = float(z.min()) - 40, float(z.max()) + 40
+    for _ in range(60):
+        t = (low + high) / 2
+        if (weight * (_sigmoid(z - t) - above)).sum() > 0:
+            low = t
+        else:
+            high = t
+    return (low + high) / 2
 
 
 def calibrated(model: OrdinalModel, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> OrdinalModel:
-    """The model with thresholds set on rows that it was not trained on: L1 has shrunk the weights, not the thresholds."""
+    """The model with one scale and the thresholds of the greatest likelihood on rows that it was not trained on: L1 has shrunk the weights.
+
+    Rows on both sides of a threshold weigh the same in all, so probabilities are as where either side is as frequent; a small
+    penalty on the scale's logarithm keeps it finite where the rows can be told apart without error.
+    """
     z = np.array([model.weights[c] @ np.log1p(n) for c, n in rows], float)
-    cuts = [best_cut(z, grades > k) for k in range(len(model.thetas))]
-    return OrdinalModel(model.weights, np.maximum.accumulate(np.array(cuts)))
+    best = None
+    for scale in 2.0 ** np.arange(-4, 8.1, 0.25):
+        loss, cuts = 0.02 * np.log(scale) ** 2, []
+        for k in range(len(model.thetas)):
+            above = grades > k
+            weight = np.where(above, 0.5 / max(1, above.sum()), 0.5 / max(1, (~above).sum()))
+            t = _middle(scale * z, above, weight)
+            cuts.append(t)
+            loss += (weight * np.logaddexp(0, np.where(above, t - scale * z, scale * z - t))).sum()
+        if best is None or loss < best[0]:
+            best = (loss, scale, cuts)
+    return OrdinalModel((model.weights * best[1]).astype(np.float32), np.maximum.accumulate(np.array(best[2])))
 
 
 def graded(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
@@ -149,7 +163,7 @@ def graded(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.n
 
 def learn(docs: DataFrame, labels: DataFrame, each: int = 2500) -> OrdinalModel | None:
     """A model from ``labels`` (doc_id, label): grades from 0 on, or 0 and 1 alone, which are graded first."""
-    named = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    named = labels.where("doc_id is not null and label >= 0").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     sample = bounded_sample(named, "label", each).withColumnRenamed("doc_id", "label_id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +193,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, *keep: str) -> DataFrame:
     n = len(keep)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, off = text_buffers(batch.column(n))
             out = [np.zeros((0, 1))]
