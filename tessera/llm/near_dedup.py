@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import U64, components, mix64, pack_arrays, pack_rows, partitions, release, runs_of, span_hashes, steps, summed_blocks, text_buffers, unpack_arrays, window_hashes, word_spans, written
-from .substring_dedup import GROUPED, ROWS_BYTES, Documents, by_group, grouped_rows, record_batches, split_by
+from .substring_dedup import GROUPED, ROWS_BYTES, Documents, by_group, dealt, grouped_rows, record_batches, split_by
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -51,6 +51,8 @@ SIGMAS = 3.5
 WIDE = 1024
 TILE, SLOT = 512, 1024
 STEP = 1 << 18
+#: Rows of tiles that are looked at together, and pairs that are compared at once.
+TILE_ROWS, PAIRS = 8192, 1 << 15
 
 _rng = np.random.default_rng(31)
 _SEEDS = _rng.integers(0, 1 << 63, WIDE, np.uint64)
@@ -291,7 +293,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, idf, least: float, plain: bool
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     asked = members.unionByName(hubs).mapInArrow(requests, GROUPED)
-    sent = texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(answered, ANSWERED)
+    sent = texts.unionAll(asked).transform(dealt, n, "g", "kind").mapInArrow(answered, ANSWERED)
     return sent.repartition(n, "hub", "slot").sortWithinPartitions("hub", "slot", "role").mapInArrow(compared, "a long, b long")
 
 
@@ -322,47 +324,78 @@ def _least_agreement(least: float, n: int) -> float:
     return n * (least - SIGMAS * np.sqrt(least * (1 - least) / n))
 
 
-def _close(t: pa.Table, least: float, best: bool, plain: bool) -> pa.Table:
-    """Of one tile of a bucket the pairs of different components that may be similar enough.
+def _close_pairs(least: float, best: bool, plain: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tiles in order, many small ones at a time."""
 
-    best: of each member the pair that agrees most; else all, each in its first common band.
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= TILE_ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                last = int(_tiles(t)[-1])  # this tile may go on
+                if last:
+                    yield _close(t.slice(0, last), least, best, plain)
+                held, size = t.slice(last).to_batches(), t.num_rows - last
+        if size:
+            yield _close(pa.Table.from_batches(held).combine_chunks(), least, best, plain)
+
+    return found
+
+
+def _tiles(t: pa.Table) -> np.ndarray:
+    """Where tiles start."""
+    return runs_of(*(t.column(c).to_numpy() for c in ("key", "kind", "i", "j")))
+
+
+def _close(t: pa.Table, least: float, best: bool, plain: bool) -> pa.RecordBatch:
+    """Of whole tiles the pairs of different components that may be similar enough.
+
+    best: of each member of a tile the pair that agrees most, of equals the one with the smallest document; else all, each in its first common band.
     """
-    release()
-    ids, comp, side = (t.column(c).to_numpy() for c in ("doc", "component", "side"))
-    alone = t.column("kind")[0].as_py() == 1 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-    band = t.column("band")[0].as_py()
+    ids, comp, side, kind, i, j, band = (t.column(c).to_numpy() for c in ("doc", "component", "side", "kind", "i", "j", "band"))
     raw = np.frombuffer(b"".join(x.as_py() for x in t.column("sketch")), np.uint8).reshape(len(ids), -1)
     kinds = 1 + plain
     n = raw.shape[1] // kinds - 4 * BANDS
     drawn, bands = [raw[:, c * n : (c + 1) * n] for c in range(kinds)], np.ascontiguousarray(raw[:, kinds * n :]).view(np.uint32)
-    p = np.flatnonzero(side == 0)
-    q = p if alone else np.flatnonzero(side == 1)
-    found: list[tuple[int, int]] = []
-    top = np.zeros((2, len(ids)), np.int64)  # of each member how far its best pair agrees, and with whom
-    for x in p:
-        y = q[(comp[q] != comp[x]) & ((ids[q] > ids[x]) | (not alone))]
-        for k in (K, n):
-            agree = np.max([(s[y, :k] == s[x, :k]).sum(axis=1) for s in drawn], axis=0)
+    at = _tiles(t)
+    tile = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))
+    # Side 0 comes first; where a block meets itself there is no other side, and its members meet each other.
+    first = np.add.reduceat(side == 0, at)
+    alone = (kind[at] == 1) & (i[at] == j[at])
+    start = np.where(alone, at, at + first)
+    count = np.where(side == 0, np.where(alone, first, np.diff(np.append(at, len(ids))) - first)[tile], 0)
+    upto = np.cumsum(count)
+    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        x = np.repeat(np.arange(a, b), count[a:b])
+        y = np.arange(len(x)) - np.repeat(upto[a:b] - count[a:b] - (upto[a - 1] if a else 0), count[a:b]) + start[tile[x]]
+        a = b
+        keep = (comp[x] != comp[y]) & ((ids[y] > ids[x]) | ~alone[tile[x]])
+        x, y, agree = x[keep], y[keep], np.zeros(0, np.int64)
+        for k in dict.fromkeys((K, n)):
+            agree = np.zeros(len(x), np.int64)
+            for c in range(0, len(x), max(1, (PAIRS * K) // k)):
+                part = slice(c, c + max(1, (PAIRS * K) // k))
+                agree[part] = np.max([(s[x[part], :k] == s[y[part], :k]).sum(axis=1) for s in drawn], axis=0)
             near = agree >= _least_agreement(least, k)
-            y, agree = y[near], agree[near]
-            if k == n:
-                break
-        if not len(y):
-            continue
-        if best:
-            k = int(agree.argmax())
-            if agree[k] > top[0, x]:
-                top[:, x] = agree[k], y[k]
-            more = agree > top[0, y]
-            top[0, y[more]], top[1, y[more]] = agree[more], x
-        else:
-            y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
-            found += [(int(ids[x]), int(ids[k])) for k in y]
+            x, y, agree = x[near], y[near], agree[near]
+        if not best:
+            own = (bands[y] == bands[x]).argmax(axis=1) == band[x]
+            x, y, agree = x[own], y[own], agree[own]
+        got.append((x, y, agree))
+    x, y, agree = (np.concatenate(c) for c in zip(*got, strict=True))
     if best:
-        have = np.flatnonzero(top[0])
-        found = [(int(ids[x]), int(ids[y])) for x, y in zip(have, top[1, have], strict=True)]
-    a = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"doc": a.max(axis=1) if len(a) else np.zeros(0, np.int64), "hub": a.min(axis=1) if len(a) else np.zeros(0, np.int64)})
+        x, y, agree = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([agree, agree])
+        order = np.lexsort((ids[y], -agree, x))
+        order = order[runs_of(x[order])]
+        x, y = x[order], y[order]
+    return pa.record_batch([pa.array(np.maximum(ids[x], ids[y])), pa.array(np.minimum(ids[x], ids[y]))], ["doc", "hub"])
 
 
 def _apart(rows: DataFrame, links: DataFrame, near: DataFrame | None = None) -> DataFrame:
@@ -396,7 +429,9 @@ def _candidates(apart: DataFrame, sketches: DataFrame, least: float, best: bool,
     among = F.transform(F.sequence(F.lit(0), blocks("n_rest") - 1), lambda o: cell(1, F.least(own, o), F.greatest(own, o), own > o))
     placed = named.withColumn("t", F.explode(F.when(F.col("big"), with_rest).otherwise(F.concat(with_big, among))))
     tiles = placed.select("key", "t.kind", "t.i", "t.j", "t.side", "band", "doc", "component", "sketch")
-    found = tiles.groupBy("key", "kind", "i", "j").applyInArrow(lambda t: _close(t, least, best, plain), "doc long, hub long")
+    order = ["key", "kind", "i", "j"]
+    tiles = tiles.repartition(partitions(apart.sparkSession), *order).sortWithinPartitions(*order, "side")
+    found = tiles.mapInArrow(_close_pairs(least, best, plain), "doc long, hub long")
     return written(found.select("hub", "doc").distinct(), "close-pairs")
 
 
@@ -419,7 +454,7 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     asked = ids.select(F.col("doc").alias("doc_id")).distinct().mapInArrow(_names(n), GROUPED)
     texts = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(grouped_rows(n, tagged=False), GROUPED)
-    return written(texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(picked, GROUPED), "bucket-texts")
+    return written(texts.unionAll(asked).transform(dealt, n, "g", "kind").mapInArrow(picked, GROUPED), "bucket-texts")
 
 
 def _packed(parts: list[pa.Table], n: int) -> Iterator[pa.RecordBatch]:
@@ -446,7 +481,7 @@ def _wide_sketches(texts: DataFrame, ids: DataFrame, bands: DataFrame, idf, plai
                     yield pa.record_batch([rows.column(0).combine_chunks().take(pa.array(some + a)), pa.array([x.tobytes() for x in s], pa.binary())], ["w", "wide"])
 
     asked = ids.select(F.col("doc").alias("doc_id")).distinct().mapInArrow(_names(n), GROUPED)
-    wide = texts.unionAll(asked).repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(drawn, "w long, wide binary").dropDuplicates(["w"])
+    wide = texts.unionAll(asked).transform(dealt, n, "g", "kind").mapInArrow(drawn, "w long, wide binary").dropDuplicates(["w"])
     return wide.join(bands, wide["w"] == bands["s"]).select("s", F.concat("wide", F.expr(f"substring(sketch, {(1 + plain) * K + 1}, {(1 + plain) * 4 * BANDS})")).alias("sketch"))
 
 
@@ -562,6 +597,6 @@ def near_distinct(docs: DataFrame, least: float = 0.8, plain: bool = False) -> D
 
     whole = keyed.select("doc_id", "text", *[c for c in keyed.columns if c not in ("doc_id", "text")])
     grouped = whole.mapInArrow(grouped_rows(n, tagged=False), GROUPED).unionAll(gone.mapInArrow(_names(n), GROUPED))
-    left = grouped.repartition(n, "g").sortWithinPartitions("g", "kind").mapInArrow(stay, whole.schema)
+    left = grouped.transform(dealt, n, "g", "kind").mapInArrow(stay, whole.schema)
     return (left if extra is None else left.withColumn("doc_id", F.col("_id"))).select(*docs.columns)
 
